@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, packing, quality_rules, sentencepiece_codec, token_counts, url_filter
+from . import language_id, licenses, packing, quality_rules, sentencepiece_codec, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the document's id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(remainder(3) != 1))
+    found = toxicity.score(docs, model, "doc_id", "text")
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
@@ -34,11 +46,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
-def remainder(n: int) -> Column:
-    """crc32 of the document's id as text, modulo n."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
-
-
 def language_network(docs: DataFrame) -> language_id.Network | None:
     samples = language_id.sample_windows(docs.where(remainder(5) != 0), "doc_id", "text", "lang")
     return language_id.train(samples) if samples else None
@@ -58,6 +65,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filters, op3_sentencepiece, op4_license_scans, op6_quality_rules, op7_language_id, op8_best_fit_packing, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_sentencepiece, op4_license_scans, op6_quality_rules, op7_language_id, op8_best_fit_packing, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
