@@ -70,3 +70,72 @@ def words_bytes(text: str) -> list[bytes]:
 
 
 LETTER = re.compile(r"[^\W\d_]")
+
+
+def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], schema: str) -> DataFrame:
+    """Like map_arrow, for the rows of one key at a time; only one group is held. The groups must be of bounded size."""
+    spark = df.sparkSession
+    out = pa_schema(spark, schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = make()
+        held: dict[str, list] | None = None
+        ready: dict[str, list] = {n: [] for n in out.names}
+
+        def done(group):
+            for n, v in (each(group) or {}).items():
+                ready[n].extend(v)
+
+        for batch in batches:
+            x = batch.to_pydict()
+            marks = list(zip(*(x[k] for k in keys), strict=True))
+            a = 0
+            while a < len(marks):
+                b = a + 1
+                while b < len(marks) and marks[b] == marks[a]:
+                    b += 1
+                part = {n: v[a:b] for n, v in x.items()}
+                if held is not None and tuple(held[k][0] for k in keys) == marks[a]:
+                    for n, v in part.items():
+                        held[n].extend(v)
+                else:
+                    if held is not None:
+                        done(held)
+                    held = part
+                a = b
+            if len(ready[out.names[0]]) >= 5_000:
+                yield pa.RecordBatch.from_pydict(ready, schema=out)
+                ready = {n: [] for n in out.names}
+        if held is not None:
+            done(held)
+        if ready[out.names[0]]:
+            yield pa.RecordBatch.from_pydict(ready, schema=out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def components(edges: DataFrame, name: str = "components", rounds: int = 50) -> DataFrame:
+    """(node, root): for each node of edges (a, b) the least node of its connected component.
+
+    Alternating large-star and small-star steps, each an aggregation and a join; a written table cuts the lineage after
+    each round, and the rounds end when the edges no longer change. Every component ends as a star around its least node.
+    """
+    from pyspark.sql import functions as F
+
+    now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    seen = None
+    for _ in range(rounds):
+        mark = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
+        if mark["n"] == 0 or (mark["n"], mark["x"]) == seen:
+            break
+        seen = (mark["n"], mark["x"])
+        # large star: each node links its larger neighbours to the least one around it
+        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        # small star: each node links its smaller neighbours, and itself, to the least of them
+        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        now = materialize(small.where("a <> b").distinct(), name)
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

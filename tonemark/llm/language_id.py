@@ -152,14 +152,16 @@ def identify(df: DataFrame, net: Network | None, id_col: str, text_col: str, kee
     as often; an empty table gives no rows; other columns of df are not read.
     """
     names = [f"k{i}" for i in range(len(keep))]
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", lang_pred string, score double"
+    kept_text = [k for c, k in zip(keep, names, strict=True) if c == text_col]
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, names, strict=True) if c != text_col])
+    fields = [("id", id_col), *zip(names, keep, strict=True)]
+    schema = ", ".join(f"{k} {df.schema[c].dataType.simpleString()}" for k, c in fields) + ", lang_pred string, score double"
 
     def make():
         compiled = net.compiled() if net else None
 
         def each(x):
-            out = {k: v for k, v in x.items() if k != "text"} | {"lang_pred": [UNKNOWN] * len(x["id"]), "score": [0.0] * len(x["id"])}
+            out = {k: v for k, v in x.items() if k != "text"} | dict.fromkeys(kept_text, x["text"]) | {"lang_pred": [UNKNOWN] * len(x["id"]), "score": [0.0] * len(x["id"])}
             at = [i for i, t in enumerate(x["text"]) if net and t and LETTER.search(t)]
             while at:
                 size, take = 0, 0  # some megabytes at once
