@@ -104,14 +104,23 @@ def spread(near: np.ndarray) -> np.ndarray:
 
 
 def together(sig: np.ndarray, path: int) -> list[tuple[int, int]]:
-    """(row, first row of its group) as found in the bucket of a path: by brute force if it is small, else by splitting on."""
-    out: list[tuple[int, int]] = []
+    """(row, first row of its component) as found in the bucket of a path: by brute force if it is small, else by splitting on. A row comes once at most."""
+    parent = np.arange(len(sig))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = int(parent[i])
+        return i
+
     todo = [(np.arange(len(sig)), path, 0)]
     while todo:
         rows, at, depth = todo.pop()
         if len(rows) <= SMALL or depth > 8:
-            label = close(sig[rows])
-            out += [(int(rows[i]), int(rows[j])) for i, j in enumerate(label) if i != j]
+            for i, j in enumerate(close(sig[rows])):
+                if i != j:
+                    a, b = root(int(rows[i])), root(int(rows[j]))
+                    parent[max(a, b)] = min(a, b)
             continue
         for place in tokens(at):
             order = rows[np.argsort(sig[rows, place], kind="stable")]
@@ -120,7 +129,7 @@ def together(sig: np.ndarray, path: int) -> list[tuple[int, int]]:
             for part in np.split(order, cuts):
                 if len(part) > 1:  # a part that hardly shrank is dense: splitting on wouldn't help
                     todo.append((np.sort(part), child(at, place, int(sig[part[0], place])), 99 if len(part) >= 0.9 * len(rows) else depth + 1))
-    return out
+    return [(i, root(i)) for i in range(len(sig)) if parent[i] != i]
 
 
 def _nodes(df: DataFrame, words: int) -> DataFrame:
