@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tonemark import params as P
 from tonemark.functions import terms as T
@@ -49,6 +51,7 @@ class Fold:
 def bin_scores(rows: DataFrame) -> DataFrame:
     """query_id, batch, fid, bin, score, lk, lj, llid, owned: bins whose score may count. The fold holds one bin at a time."""
     schema = "query_id int, batch int, fid int, bin int, score bigint, lk int, lj int, llid int, owned array<struct<lid:int,k:int>>"
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
     names = ["query_id", "batch", "fid", "bin", "k", "j", "lid", "t", "e", "eq"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +62,7 @@ def bin_scores(rows: DataFrame) -> DataFrame:
                 out.append((*key, fold.score, *fold.last, [{"lid": a, "k": b} for a, b in sorted(fold.pivots.items())]))
 
         def batch():
-            from pyspark.sql.pandas.types import to_arrow_schema
-            from pyspark.sql.types import StructType
-
-            s = to_arrow_schema(StructType.fromDDL(schema))
-            return pa.RecordBatch.from_pylist([dict(zip(s.names, r, strict=True)) for r in out], schema=s)
+            return pa.RecordBatch.from_pylist([dict(zip(out_schema.names, r, strict=True)) for r in out], schema=out_schema)
 
         for b in batches:
             x = b.to_pydict()

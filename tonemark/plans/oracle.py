@@ -14,7 +14,7 @@ CTES: dict[str, str] = {
         CAST((o_orderkey * 13 + o_custkey * 29) % 100 AS INTEGER), CAST(50 + o_custkey % 206 AS INTEGER)
         FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1 AS lid FROM orders) WHERE lid < 400)""",
     "st": "SELECT CAST(w * 64 | ((f - 17) // 9) AS INTEGER) AS term, fid, lid, t, e FROM qlf",
-    "bp": """SELECT CAST(a.w << 19 | (a.f // 186) << 17 | n.w << 10 | CAST(trunc(CAST(CAST(n.t AS FLOAT) / CAST(5 AS FLOAT) AS FLOAT) - CAST(CAST(a.t AS FLOAT) / CAST(5 AS FLOAT) AS FLOAT)) AS INTEGER) << 6
+    "bp": """SELECT CAST((a.w << 19) | ((a.f // 186) << 17) | (n.w << 10) | (CAST(trunc(CAST(CAST(n.t AS FLOAT) / CAST(5 AS FLOAT) AS FLOAT) - CAST(CAST(a.t AS FLOAT) / CAST(5 AS FLOAT) AS FLOAT)) AS INTEGER) << 6)
         | (CAST(trunc(CAST(CAST(n.f AS FLOAT) / CAST(9 AS FLOAT) AS FLOAT) - CAST(CAST(a.f AS FLOAT) / CAST(9 AS FLOAT) AS FLOAT)) AS INTEGER) & 63) AS INTEGER) AS term, a.fid, a.lid, a.t, a.e, n.lid AS lid2
         FROM (SELECT *, row_number() OVER (PARTITION BY fid, f // 186 ORDER BY lid) AS r FROM qlf) a
         JOIN (SELECT *, row_number() OVER (PARTITION BY fid, f // 186 ORDER BY lid) AS r FROM qlf) n
