@@ -38,8 +38,12 @@ def hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def first_hits(rows: DataFrame) -> DataFrame:
-    """A query fingerprint scores one fingerprint in each bin of a recording: the first. A minimum, which Spark combines before the shuffle."""
-    least = rows.groupBy(*KEYS, "fid", "bin", "k").agg(F.min(F.struct("lid", "t", "e", "eq")).alias("x"))
+    """A query fingerprint scores one fingerprint in each bin of a recording: the first.
+
+    The rows are dealt by query batch and recording: all later steps up to a recording's best bin find them in place.
+    Combining before this one shuffle would not pay, as nearly every hit is a first one.
+    """
+    least = rows.repartition(*KEYS, "fid").groupBy(*KEYS, "fid", "bin", "k").agg(F.min(F.struct("lid", "t", "e", "eq")).alias("x"))
     return least.select(*KEYS, "fid", "bin", "k", F.col("x.lid").alias("lid"), F.col("x.t").alias("t"), F.col("x.e").alias("e"), F.col("x.eq").alias("eq"))
 
 

@@ -39,26 +39,55 @@ def query_edges(pairs: DataFrame, batches: DataFrame, queries: DataFrame) -> Dat
     return _edges(rows, [*KEYS, "k"])
 
 
-def recording_edges(pairs: DataFrame, batches: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Edges around each recording fingerprint of a pair, as many before and after it as the query has around k."""
-    ends = batches.select(*KEYS, F.col("lid").alias("k"), "horizon")
-    spans = pairs.join(ends, [*KEYS, "k"]).select("fid", F.col("lid").alias("centre"), F.least(F.col("k"), F.lit(P.AROUND_GRAPH)).alias("left"), F.least(F.lit(P.AROUND_GRAPH), F.col("horizon") - F.col("k")).alias("right")).distinct()
+def _offsets(rows: DataFrame) -> DataFrame:
+    """Adds o: where a member stands from the centre, in quantised time and frequency, eight bits each.
+
+    An edge's key says the same as the offsets of its two ends, so neighbourhoods can be compared by their members.
+    """
+    low = lambda x: x.bitwiseAND(F.lit(255))
+    q = lambda x, unit: T.quantised(F.col(x), unit)
+    return rows.withColumn("o", (low(q("ct", 5) - q("t", 5)) * 256 + low(q("cf", 9) - q("f", 9))).cast("int"))
+
+
+def common_members(pairs: DataFrame, batches: DataFrame, queries: DataFrame, recordings: DataFrame) -> DataFrame:
+    """The columns of pairs, o, q, r: members of the query's and the recording's neighbourhood with equal offsets."""
+    ends = batches.select(*KEYS, F.col("lid").alias("k"), F.col("t").alias("ct"), F.col("f").alias("cf"), "horizon")
+    whole = pairs.join(ends, [*KEYS, "k"]).withColumns({"left": F.least(F.col("k"), F.lit(P.AROUND_GRAPH)), "right": F.least(F.lit(P.AROUND_GRAPH), F.col("horizon") - F.col("k"))})
+    member = F.struct("lid", "t", "f", "w", "e")
+    # each query fingerprint's neighbourhood once, as far as received; likewise each recording fingerprint's
+    places = F.explode(F.sequence(-F.col("left"), F.col("right"))).alias("p")
+    near = whole.select(*KEYS, "k", "ct", "cf", "left", "right").distinct().select(*KEYS, "k", "ct", "cf", places)
+    near = near.withColumn("lid", F.col("k") + F.col("p")).join(queries.select("query_id", "lid", "t", "f", "w", "e"), ["query_id", "lid"])
+    qn = _offsets(near).select(*KEYS, "k", "o", member.alias("q"))
     rec = recordings.select("fid", "lid", "t", "f", "w", "e")
+    spans = whole.select("fid", F.col("lid").alias("centre"), "left", "right").distinct()
     middle = spans.join(rec.select("fid", F.col("lid").alias("centre"), F.col("t").alias("ct"), F.col("f").alias("cf")), ["fid", "centre"])
-    rows = middle.join(rec, "fid").where(F.col("lid").between(F.col("centre") - F.col("left"), F.col("centre") + F.col("right")))
-    return _edges(rows, ["fid", "centre", "left", "right"])
+    around = middle.select("fid", "centre", "left", "right", "ct", "cf", places).withColumn("lid", F.col("centre") + F.col("p")).join(rec, ["fid", "lid"])
+    rn = _offsets(around).select("fid", F.col("centre").alias("lid"), "left", "right", "o", member.alias("r"))
+    return whole.drop("ct", "cf", "horizon").join(qn, [*KEYS, "k"]).join(rn, ["fid", "lid", "left", "right", "o"]).select(*PAIR, "o", "q", "r")
 
 
 def common_edges(pairs: DataFrame, batches: DataFrame, queries: DataFrame, recordings: DataFrame) -> DataFrame:
-    """query_id, batch, fid, bin, k, lid, edge, score, bin1, bin2: edges that both neighbourhoods of a pair have."""
-    qe = query_edges(pairs, batches, queries).select(*KEYS, "k", "edge", F.col("i").alias("qi"), F.col("j").alias("qj"))
-    re = recording_edges(pairs, batches, recordings).select("fid", F.col("centre").alias("lid"), "left", "right", "edge", F.col("i").alias("ri"), F.col("j").alias("rj"))
-    ends = batches.select(*KEYS, F.col("lid").alias("k"), "horizon")
-    spans = pairs.join(ends, [*KEYS, "k"]).withColumns({"left": F.least(F.col("k"), F.lit(P.AROUND_GRAPH)), "right": F.least(F.lit(P.AROUND_GRAPH), F.col("horizon") - F.col("k"))})
-    both = spans.join(qe, [*KEYS, "k"]).join(re, ["fid", "lid", "left", "right", "edge"])
-    same = lambda a, b: F.when(F.col(f"{a}.w") == F.col(f"{b}.w"), T.similarity(F.col(f"{a}.e"), F.col(f"{b}.e"))).otherwise(0)
-    score = (1000 + same("qi", "ri") + same("qj", "rj")).cast("bigint")
-    return both.select(*PAIR, "edge", score.alias("score"), T.time_bin(F.col("ri.t")).alias("bin1"), T.time_bin(F.col("rj.t")).alias("bin2"))
+    """query_id, batch, fid, bin, k, lid, edge, score, bin1, bin2: edges that both neighbourhoods of a pair have.
+
+    An edge's ends are common members, so only these are joined with each other: a few instead of all pairs of a
+    neighbourhood. Of edges with equal keys the last one counts on either side.
+    """
+    both = common_members(pairs, batches, queries, recordings)
+    members = both.groupBy(*PAIR).agg(F.collect_set(F.struct("o", F.col("q").alias("x"))).alias("qs"), F.collect_set(F.struct("o", F.col("r").alias("x"))).alias("rs")).where((F.size("qs") > 1) & (F.size("rs") > 1))
+
+    def edges(side: str) -> DataFrame:
+        # a neighbourhood has at most 31 members
+        one = members.select(*PAIR, side, F.explode(side).alias("i")).select(*PAIR, "i", F.explode(side).alias("j")).where(F.col("i.x.lid") < F.col("j.x.lid"))
+        last = F.max(F.struct(F.col("i.x.lid").alias("a"), F.col("j.x.lid").alias("b"), F.col("i.x").alias("i"), F.col("j.x").alias("j")))
+        return one.groupBy(*PAIR, F.col("i.o").alias("oi"), F.col("j.o").alias("oj")).agg(last.alias(side))
+
+    met = edges("qs").join(edges("rs"), [*PAIR, "oi", "oj"])
+    same = lambda x: F.when(F.col(f"qs.{x}.w") == F.col(f"rs.{x}.w"), T.similarity(F.col(f"qs.{x}.e"), F.col(f"rs.{x}.e"))).otherwise(0)
+    score = (1000 + same("i") + same("j")).cast("bigint")
+    part = lambda o, k: F.floor(F.col(o) / 256) if k == 0 else F.col(o) % 256
+    key = T.edge_hash(part("oi", 0) - part("oj", 0), part("oi", 1) - part("oj", 1), part("oi", 0), part("oi", 1))
+    return met.select(*PAIR, key.alias("edge"), score.alias("score"), T.time_bin(F.col("rs.i.t")).alias("bin1"), T.time_bin(F.col("rs.j.t")).alias("bin2"))
 
 
 def graph_scores(edges: DataFrame) -> DataFrame:

@@ -23,8 +23,9 @@ DUR = engine.Config().step_seconds
 class Stages:
     """Intermediate tables of identification over the fixtures, each planned when first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
+        """keep: write the scored hits to a table, for queries that read them several times."""
+        self.spark, self.sf_dir, self.keep = spark, sf_dir, keep
 
     @cached_property
     def qlf(self) -> DataFrame:
@@ -48,7 +49,8 @@ class Stages:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return match.order_scores(match.first_hits(self.hits))
+        rows = match.order_scores(match.first_hits(self.hits))
+        return materialize(rows.select(*match.KEYS, "fid", "bin", "k", "lid", "score"), "scored") if self.keep else rows
 
     @cached_property
     def bins(self) -> DataFrame:
@@ -202,8 +204,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.run_once(s.q, s.postings, s.qlf)
 
 
-def _s(f: Callable[[Stages], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(Stages(spark, sf_dir))
+def _s(f: Callable[[Stages], DataFrame], keep: bool = False) -> Query:
+    return lambda spark, sf_dir: f(Stages(spark, sf_dir, keep))
 
 
 QUERIES: dict[str, Query] = {
@@ -225,10 +227,10 @@ QUERIES: dict[str, Query] = {
     "best_bin": _s(lambda s: s.best),
     "topk_candidates": _s(lambda s: s.top),
     "batch_confidence": _s(lambda s: match.confidences(s.top).withColumn("conf", F.round("conf", 6))),
-    "peak_bins": _s(lambda s: s.peaks),
-    "graph_edges": _s(lambda s: rerank.query_edges(s.pairs, s.batches, s.q).groupBy(*match.KEYS, "k").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("edge") % 1_000_003).alias("edge_sum"))),
-    "graph_common": _s(lambda s: s.common),
-    "graph_rerank": _s(lambda s: rerank.rerank(s.common)),
+    "peak_bins": _s(lambda s: s.peaks, keep=True),
+    "graph_edges": _s(lambda s: rerank.query_edges(s.pairs, s.batches, s.q).groupBy(*match.KEYS, "k").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("edge") % 1_000_003).alias("edge_sum")), keep=True),
+    "graph_common": _s(lambda s: s.common, keep=True),
+    "graph_rerank": _s(lambda s: rerank.rerank(s.common), keep=True),
     "accumulate": _s(lambda s: s.acc),
     "final_topk": _s(lambda s: decide.final_top(s.acc).drop("bin")),
     "step_confidence": _s(lambda s: s.step_best.select("query_id", "block_no", "fid", "ac", F.round("conf", 6).alias("conf"))),

@@ -55,7 +55,9 @@ def check_sequence(queries: DataFrame) -> None:
 def contributions(batches: DataFrame, queries: DataFrame, postings: DataFrame, recordings: DataFrame, config: Config) -> DataFrame:
     """query_id, batch, fid, score, bin: what each batch adds. Batches of low confidence go through the graphs, the others count as they are."""
     if config.match_type == "MSCALE":
-        scored, bins, top = match.search(batches, postings)
+        scored = materialize(match.order_scores(match.first_hits(match.hits(match.query_terms(batches), postings))).select(*match.KEYS, "fid", "bin", "k", "lid", "score"), "scored")
+        bins = match.bin_scores(scored)
+        top = match.top_candidates(match.best_bins(bins))
     else:
         scored, bins, top = xscale.search(batches, queries, postings)
     top = materialize(top, "top")

@@ -12,7 +12,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonemark import params as P
 from tonemark.plans import engine
 from tonemark.plans.scratch import shared_dir
 
@@ -32,40 +31,40 @@ class Monitor:
 
     def _last(self, batch: int) -> DataFrame:
         """State before a batch: the folder of the batch before it, so that a batch that is run again starts from the same."""
-        try:
-            return self.spark.read.schema(STATE).parquet(self._state(batch - 1))
-        except Exception as e:
-            if batch and "PATH_NOT_FOUND" not in str(e):
-                raise
+        if batch == 0:
             return self.spark.createDataFrame([], STATE)
+        return self.spark.read.schema(STATE).parquet(self._state(batch - 1))
+
+    def _decided(self, batch: int) -> DataFrame:
+        """Streams that earlier batches have decided."""
+        if batch == 0:
+            return self.spark.createDataFrame([], "query_id int")
+        return self.spark.read.schema(RESULT + ", batch int").parquet(f"{self.folder}/results").where(F.col("batch") < batch).select("query_id").distinct()
 
     def __call__(self, new: DataFrame, batch: int) -> None:
         spark = new.sparkSession
         self.spark = spark
         old = self._last(batch)
-        rows = old.unionByName(new.select(*old.columns))
-        if self.continuous:  # after a reset numbers, times and steps start from zero again
+        raw = old.unionByName(new.select(*old.columns))
+        if not self.continuous:
+            raw = raw.join(self._decided(batch), "query_id", "left_anti")
+        raw = raw.persist()
+        rows = raw
+        if self.continuous:  # after a decision numbers, times and steps start from zero again
             w = Window.partitionBy("query_id")
-            rows = rows.withColumns({"l0": F.min("lid").over(w), "t0": F.min("t").over(w), "b0": F.min("block_no").over(w)})
+            rows = raw.withColumns({"l0": F.min("lid").over(w), "t0": F.min("t").over(w), "b0": F.min("block_no").over(w)})
             rows = rows.select("query_id", (F.col("block_no") - F.col("b0")).alias("block_no"), (F.col("lid") - F.col("l0")).alias("lid"), (F.col("t") - F.col("t0")).alias("t"), "f", "w", "e")
-        rows = rows.persist()
         out = f"{self.folder}/results/batch={batch}"
         got = engine.identify(rows, self.postings, self.recordings, self.config)
         got.where("status <> 'PENDING'").write.mode("overwrite").parquet(out)
         decided = spark.read.schema(RESULT).parquet(out).select("query_id").distinct()
-        keep = rows.join(decided, "query_id", "left_anti")
-        if not self.continuous:  # a decided stream keeps no more than its mark: step -1
-            keep = keep.where("block_no >= 0")
-        keep.write.mode("overwrite").parquet(self._state(batch))
-        rows.unpersist()
+        raw.join(decided, "query_id", "left_anti").write.mode("overwrite").parquet(self._state(batch))
+        raw.unpersist()
 
     def results(self) -> DataFrame:
-        """Decisions so far; a stream that isn't continuous has its first one."""
+        """Decisions so far, with the number of their batch where streams go on after one."""
         rows = self.spark.read.schema(RESULT + ", batch int").parquet(f"{self.folder}/results")
-        if self.continuous:
-            return rows
-        first = F.min("batch").over(Window.partitionBy("query_id"))
-        return rows.withColumn("first", first).where("batch = first").drop("first", "batch")
+        return rows if self.continuous else rows.drop("batch")
 
 
 def start(chunks: DataFrame, monitor: Monitor, checkpoint: str, **trigger):
@@ -102,8 +101,3 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "10 minutes")
     """Events by user and session, which ends after a gap."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def batches_seconds() -> float:
-    """Longest time that a stream's state is kept: the time limit of a decision."""
-    return P.MAX_ID_TIME
