@@ -20,7 +20,8 @@ Rule = tuple[str, str, str]
 DIMS, SIZES = 1 << 14, (2, 3, 4, 5)
 
 _GOOD_HOSTS = ("news", "blog", "docs", "wiki", "library", "museum", "university", "weather", "garden", "m", "www.city", "research", "archive", "school", "music", "kitchen", "history", "forum", "travel-notes", "science")
-_BAD_HOSTS = ("spam-farm", "cheap-pills", "casino-bonus", "xxx-video", "free-money", "adult-dating", "poker-win", "viagra-shop", "spam-links", "pills-online", "hot-xxx", "win-casino", "payday-loan", "replica-watches", "click-ads", "warez-crack", "cheap-replica", "porn-tube", "malware-drop", "lottery-win")
+_BAD_WORDS = ("spam", "casino", "pills", "adult", "xxx", "poker", "bets", "ads", "porn", "loan", "lottery", "warez", "replica", "viagra", "malware", "track")
+_BAD_COMPANIONS = ("free", "cheap", "win", "bonus", "x", "online", "farm", "shop", "links", "drop", "click", "best")
 _GOOD_PATHS = ("/en/825", "/fr/25/", "/de/article/685.html", "/es/676", "/2021/05/notes", "/wiki/Tree", "/en/853/", "")
 _BAD_PATHS = ("/win/bonus", "/buy-pills-now", "/xxx/728", "/en/free-money.html", "/casino/450", "/en/728", "/fr/450/", "")
 
@@ -28,15 +29,19 @@ _BAD_PATHS = ("/win/bonus", "/buy-pills-now", "/xxx/728", "/en/free-money.html",
 def sample_urls() -> list[tuple[str, int]]:
     """A small labelled table: hosts and paths of either kind, under the same domains."""
     out = []
-    for label, hosts, paths in ((0, _GOOD_HOSTS, _GOOD_PATHS), (1, _BAD_HOSTS, _BAD_PATHS)):
+    # a word with each third companion, before or after it
+    bad = [f"{w}-{c}" if k % 2 else f"{c}-{w}" for i, w in enumerate(_BAD_WORDS) for k, c in enumerate(_BAD_COMPANIONS[i % 3 :: 3])]
+    for label, hosts, paths in ((0, _GOOD_HOSTS, _GOOD_PATHS), (1, bad, _BAD_PATHS)):
         for i, host in enumerate(hosts):
-            for j in range(3):
+            for j in range(3 - label):
                 top = ("com", "net", "org")[(i + j) % 3]
-                lead = ("", "www.", "m.")[j]
+                lead = ("", "www.", "m.", "blog.")[(i + j) % 4]
                 out.append((f"http{'s' * (j % 2)}://{lead}{host}.example.{top}{paths[(i + 3 * j) % len(paths)]}", label))
-        # made-up names under ordinary hosts keep the model from blocking what it has never seen
+                if label:  # the same kinds of path as elsewhere, so that the host tells
+                    out.append((f"https://{lead}{host}.example.{top}{_GOOD_PATHS[(i + j) % len(_GOOD_PATHS)]}", label))
+        # names of no word keep the model from blocking what it has never seen
         if not label:
-            for i in range(60):
+            for i in range(120):
                 name = "".join(("th", "re", "on", "er", "an", "ti", "st", "ou")[(i * 7 + k * k * 5 + 3 * k) % 8] for k in range(3 + i % 3))
                 out.append((f"https://{('', 'www.', 'blog.', 'm.')[i % 4]}{name}.example.{('com', 'net', 'org')[i % 3]}{_GOOD_PATHS[i % len(_GOOD_PATHS)]}", 0))
     return out
@@ -61,7 +66,7 @@ def split_url(url: str) -> tuple[str, str]:
     return rest[:end], tail[:stop]
 
 
-def train(rows: Sequence[tuple[str, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(rows: Sequence[tuple[str, int]], rounds: int = 800, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression, by full-batch gradient descent; rows is the small labelled table."""
     parts = [split_url(u) for u, _ in rows]
     feats = [grams(host.lower(), path) for host, path in parts]
@@ -73,8 +78,8 @@ def train(rows: Sequence[tuple[str, int]], rounds: int = 300, rate: float = 0.5,
     for _ in range(rounds if len(rows) else 0):
         z = np.bincount(which, w[at], len(feats)) / np.sqrt(size) + b
         g = (1 / (1 + np.exp(-z)) - y) / len(feats)
-        w -= rate * (np.bincount(at, (g / np.sqrt(size))[which], DIMS) * 10 + decay * w)
-        b -= rate * g.sum()
+        w -= rate * (np.bincount(at, (g / np.sqrt(size))[which], DIMS) + decay * w)
+        b -= g.sum()
     return w, b
 
 
