@@ -163,9 +163,9 @@ def test_mcd_fit_against_numpy(spark):
     clean = rng.multivariate_normal([1, 0, 0, 0.2, 0.8], np.diag([0.02, 0.01, 0.01, 0.02, 0.03]), 400)
     far = clean[:60] + [0, 2, 0, 0, 0]
     frame = spark.createDataFrame([("g", *map(float, r)) for r in np.vstack([clean, far])], "g string, x1 double, x2 double, x3 double, x4 double, x5 double")
-    fit = quality_rules.fit_mcd(frame).first()
+    fit = quality_rules.fit_mcd(frame, True).first()
     assert abs(fit.m1 - 0) < 0.05 and abs(fit.m0 - 1) < 0.05
-    d = quality_rules._distance(frame, quality_rules.fit_mcd(frame).drop("middle", "rows")).select("x2", "d").toPandas()
+    d = quality_rules._distance(frame, quality_rules.fit_mcd(frame, False).drop("middle", "rows"), False).select("x2", "d").toPandas()
     assert d[d.x2 > 1.2].d.min() > d[d.x2 < 0.8].d.max()
 
 

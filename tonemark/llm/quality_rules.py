@@ -5,7 +5,7 @@ In each group the determinant's subset is sought by concentration steps from a d
 half of the rows nearest by the current mean and covariance gives the next ones. A step is one
 aggregation by group and distance bin, so it moves a few thousand small rows whatever the size of a
 group; the half is taken to the end of a bin, of which there are 32 for each doubling of the distance.
-The last covariance is scaled so that its median distance is that of the chi-square distribution.
+Distances are scaled down where their median exceeds that of the chi-square distribution.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 #: Least spread of each statistic: what a title, a repeated line or a few odd words make in an ordinary text. Most texts
 #: have no symbols or repeats at all, so the half nearest to the centre may have no spread there.
 SPREAD = (0.06, 0.06, 0.10, 0.15, 0.10)
+#: Groups up to which their fits are broadcast: some 21 numbers each, so at most about 10 MB. More are joined by shuffle.
+BROADCAST_GROUPS = 50_000
 #: Least rows of a group; smaller ones are judged by their language's rows, then by all rows.
 LEAST = 50
 
@@ -93,6 +95,11 @@ def _moments() -> list[Column]:
     return [F.sum("c").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(P)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in _pairs()]]
 
 
+def _small(groups: DataFrame, few: bool) -> DataFrame:
+    """A table of groups for a join: a shuffle by group would bring a large group's rows to one task."""
+    return F.broadcast(groups) if few else groups
+
+
 def _factor(groups: DataFrame) -> DataFrame:
     """From sums: means m*, and the rows l** of the Cholesky factor of the covariance."""
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")
@@ -106,9 +113,9 @@ def _factor(groups: DataFrame) -> DataFrame:
     return out.select("g", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in _pairs()])
 
 
-def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
     """Adds d, the squared Mahalanobis distance; fit has one row for each group."""
-    out = rows.join(fit, "g", "left")
+    out = rows.join(_small(fit, few), "g", "left")
     for i in range(P):
         rest = F.col(NAMES[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -124,7 +131,8 @@ def _bin(d: Column) -> Column:
 
 def _binned(rows: DataFrame, bins: Column) -> DataFrame:
     sums = [F.count(F.lit(1)).alias("c"), *[F.sum(NAMES[i]).alias(f"s{i}") for i in range(P)], *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}{j}") for i, j in _pairs()]]
-    return rows.withColumn("b", bins).groupBy("g", "b").agg(*sums)
+    # summed by group and bin before a group's bins meet: one task would else read a group's bins of every task
+    return rows.withColumn("b", bins).groupBy("g", "b").agg(*sums).repartition("g")
 
 
 def _nearest_half(binned: DataFrame) -> DataFrame:
@@ -134,21 +142,32 @@ def _nearest_half(binned: DataFrame) -> DataFrame:
     return out.where(F.col("below") < F.floor((F.col("all") + P + 1) / 2)).drop("below", "all")
 
 
-def fit_mcd(rows: DataFrame, steps: int = 4) -> DataFrame:
+def _medians(rows: DataFrame, values: dict[str, Column], name: str) -> DataFrame:
+    """g and name_x for each value x: the median of each group, to a 128th. By counts of bins, so that a large group is summed in every task."""
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.floor(v * 128).cast("int").alias("b")) for x, v in values.items()]))
+    counts = rows.select("g", cells.alias("v")).groupBy("g", "v.x", "v.b").agg(F.count(F.lit(1)).alias("c")).repartition("g", "x")
+    w = Window.partitionBy("g", "x")
+    middle = counts.withColumn("below", F.sum("c").over(w.orderBy("b")) - F.col("c")).withColumn("all", F.sum("c").over(w)).where(F.col("below") < F.col("all") / 2)
+    tops = middle.groupBy("g", "x").agg(((F.max("b") + 0.5) / 128).alias("m"))
+    return tops.groupBy("g").agg(*[F.max(F.when(F.col("x") == x, F.col("m"))).alias(f"{name}_{x}") for x in values])
+
+
+def fit_mcd(rows: DataFrame, few: bool, steps: int = 4) -> DataFrame:
     """One row for each group g of rows (g, x1..x5): means, Cholesky factor and the median distance `middle`.
 
     The start is the nearest half by the distance from each group's median, in units of its median deviation.
+    few: whether there are at most BROADCAST_GROUPS groups.
     """
-    med = materialize(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"c_{x}") for x in NAMES]), "mcd-start")
-    dev = rows.join(med, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"c_{x}")), 0.5, 10_000).alias(f"a_{x}") for x in NAMES])
+    med = materialize(_medians(rows, {x: F.col(x) for x in NAMES}, "c"), "mcd-start")
+    dev = _medians(rows.join(_small(med, few), "g"), {x: F.abs(F.col(x) - F.col(f"c_{x}")) for x in NAMES}, "a")
     centre = materialize(med.join(dev, "g"), "mcd-start")
     z = reduce(lambda a, b: a + b, [F.pow((F.col(x) - F.col(f"c_{x}")) / (F.col(f"a_{x}") * 1.4826 + least), F.lit(2.0)) for x, least in zip(NAMES, SPREAD, strict=True)])
-    fit = materialize(_factor(_nearest_half(_binned(rows.join(centre, "g"), _bin(z))).groupBy("g").agg(*_moments())), "mcd-fit")
+    fit = materialize(_factor(_nearest_half(_binned(rows.join(_small(centre, few), "g"), _bin(z))).groupBy("g").agg(*_moments())), "mcd-fit")
     for _ in range(steps):
-        near = _nearest_half(_binned(_distance(rows, fit), _bin(F.col("d"))))
+        near = _nearest_half(_binned(_distance(rows, fit, few), _bin(F.col("d"))))
         fit = materialize(_factor(near.groupBy("g").agg(*_moments())), "mcd-fit")
     w = Window.partitionBy("g").orderBy("b")
-    counts = _distance(rows, fit).groupBy("g", _bin(F.col("d")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    counts = _distance(rows, fit, few).groupBy("g", _bin(F.col("d")).alias("b")).agg(F.count(F.lit(1)).alias("c")).repartition("g")
     counts = counts.withColumn("below", F.sum("c").over(w) - F.col("c")).withColumn("all", F.sum("c").over(Window.partitionBy("g")))
     middle = counts.where(F.col("below") < F.col("all") / 2).groupBy("g").agg((F.pow(F.lit(2.0), (F.max("b") + 1) / 32) - 1e-3).alias("middle"), F.max("all").alias("rows"))
     return materialize(fit.join(middle, "g"), "mcd-fit")
@@ -175,11 +194,11 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     lang = F.to_json(F.struct("__lang"), {"ignoreNullFields": "false"})
     small = F.sum(F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)).over(Window.partitionBy("__lang"))
     groups = sizes.withColumn("small", small).select(F.col("__lang").alias("gl"), F.col("__source").alias("gs"), F.when(F.col("n") >= LEAST, own).when(F.col("small") >= LEAST, lang).otherwise(F.lit("all")).alias("g"))
-    # the table of groups has a row for each pair of language and source, so Spark may broadcast it by its size
-    groups = materialize(groups, "quality-groups")
-    grouped = stats.join(groups, F.col("__lang").eqNullSafe(F.col("gl")) & F.col("__source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs").withColumns(statistics())
-    fit = fit_mcd(grouped.where(~F.col("base_failed")).select("g", *NAMES))
-    judged = _distance(grouped, fit.drop("middle", "rows")).join(fit.select("g", "middle", F.col("rows").alias("group_rows")), "g", "left")
+    groups = materialize(groups, "quality-groups")  # a row for each pair of language and source
+    few = groups.count() <= BROADCAST_GROUPS
+    grouped = stats.join(_small(groups, few), F.col("__lang").eqNullSafe(F.col("gl")) & F.col("__source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs").withColumns(statistics())
+    fit = fit_mcd(grouped.where(~F.col("base_failed")).select("g", *NAMES), few)
+    judged = _distance(grouped, fit.drop("middle", "rows"), few).join(_small(fit.select("g", "middle", F.col("rows").alias("group_rows")), few), "g", "left")
     distance = F.when(~F.col("base_failed"), F.col("d") * CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(CHI2_MEDIAN)))
     kept = ~F.col("base_failed") & ((F.col("group_rows") < LEAST) | (F.col("distance") <= cut))
     return judged.withColumn("distance", distance).select(
