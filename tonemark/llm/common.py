@@ -10,6 +10,9 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that components() may broadcast.
+MANY = 50_000
+
 #: White space that separates words everywhere in this subpackage.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -131,8 +134,13 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 50) ->
         seen = (mark["n"], mark["x"])
         # large star: each node links its larger neighbours to the least one around it
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("c")), name)
+        # nodes with very many neighbours would meet all of them in one task, so their minimum goes to the neighbours
+        # instead; with n edges at most MANY nodes have over 2 n / MANY neighbours, so this broadcast is bounded
+        bar = max(1_000, 2 * mark["n"] // MANY)
+        hot = least.where(F.col("c") > bar).select("a", "m")
+        rest = both.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.where(F.col("c") <= bar).select("a", "m"), "a")
+        large = both.join(F.broadcast(hot), "a").unionByName(rest).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # small star: each node links its smaller neighbours, and itself, to the least of them
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
