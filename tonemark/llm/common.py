@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that become Python objects at once.
+ROWS = 1_000
 #: Rows that components() may broadcast.
 MANY = 50_000
 
@@ -54,8 +56,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(each(batch.to_pydict()), schema=out)
+            for a in range(0, batch.num_rows, ROWS):  # few texts at once as Python objects
+                yield pa.RecordBatch.from_pydict(each(batch.slice(a, ROWS).to_pydict()), schema=out)
 
     return df.mapInArrow(run, schema)
 
