@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemark import params as P
+from tonemark.errors import InvalidCodebook
 from tonemark.plans.scratch import materialize
 
 
@@ -26,14 +27,25 @@ def pack_words(descriptor: Column, n_bytes: int = P.BYTES) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(-(-n_bytes // 8) - 1)), lambda i: F.conv(F.substring(text, i * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
 
 
-def nearest_word(points: DataFrame, codebook: DataFrame, bits: int) -> DataFrame:
-    """points (word) and codebook (code, centroid): adds code and dist, clipped to MAX_ERROR. Of equal codewords the largest number wins.
+def codewords(codebook: DataFrame) -> list[tuple[int, int]]:
+    """(code, centroid) of a codebook, which has at most P.WORDS rows."""
+    rows = codebook.select("code", "centroid").limit(P.WORDS + 1).collect()
+    if len(rows) > P.WORDS:
+        raise InvalidCodebook(f"a codebook has at most {P.WORDS} codewords")
+    return sorted((r["code"], r["centroid"]) for r in rows)
 
-    The codebook has at most P.WORDS rows, so it is broadcast and the pairs of a point are reduced before any shuffle.
-    """
-    book = F.broadcast(codebook.limit(P.WORDS + 1))
-    near = points.crossJoin(book).groupBy(*points.columns).agg(F.min(F.struct(hamming(F.col("word"), F.col("centroid")).alias("d"), (-F.col("code")).alias("c"))).alias("x"))
-    return near.select(*points.columns, (-F.col("x.c")).cast("int").alias("code"), F.least(F.col("x.d"), F.lit(min(P.MAX_ERROR, bits))).cast("int").alias("dist"))
+
+def nearest(word: Column, book: list[tuple[int, int]], largest: bool = True) -> Column:
+    """struct<d, c> of the nearest codeword; of equally near ones the largest number, or else the smallest. One expression: no row is multiplied."""
+    sign = -1 if largest else 1
+    best = F.array_min(F.array(*[F.struct(hamming(word, F.lit(c).cast("bigint")).alias("d"), F.lit(sign * i).alias("c")) for i, c in book]))
+    return F.struct(best["d"].alias("d"), (best["c"] * sign).cast("int").alias("c"))
+
+
+def nearest_word(points: DataFrame, codebook: DataFrame, bits: int) -> DataFrame:
+    """points (word) and codebook (code, centroid): adds code and dist, clipped to MAX_ERROR. Of equal codewords the largest number wins."""
+    near = points.withColumn("x", nearest(F.col("word"), codewords(codebook)))
+    return near.select(*points.columns, F.col("x.c").alias("code"), F.least(F.col("x.d"), F.lit(min(P.MAX_ERROR, bits))).cast("int").alias("dist"))
 
 
 def quantize_udf(codebook: np.ndarray):
@@ -70,7 +82,7 @@ def duplicate_codewords(codebook: DataFrame) -> DataFrame:
 def kmedians(points: DataFrame, k: int, rounds: int = 32, tolerance: float = 0.01, seed: int = 1) -> DataFrame:
     """code, centroid, sum_d, n_points: binary k-medians of points (point, word, bits), seeded by distance, until at most the tolerated share changes.
 
-    Only the k centroids are on the driver; an assignment is a broadcast join, a new centroid a sum for each bit.
+    Only the k centroids are on the driver; an assignment is one expression over them, a new centroid a sum for each bit.
     """
     spark = points.sparkSession
     points = materialize(points.select("point", "word", "bits"), "kmedians-points")
@@ -84,9 +96,8 @@ def kmedians(points: DataFrame, k: int, rounds: int = 32, tolerance: float = 0.0
         chosen.append(row["word"])
     before = None
     for _ in range(rounds):
-        book = spark.createDataFrame([(i, int(c)) for i, c in enumerate(chosen)], "code int, centroid bigint")
-        near = points.crossJoin(F.broadcast(book)).groupBy("point", "word", "bits").agg(F.min(F.struct(hamming(F.col("word"), F.col("centroid")).alias("d"), "code")).alias("x"))
-        now = materialize(near.select("point", "word", "bits", F.col("x.code").alias("code"), F.col("x.d").alias("d")), "kmedians-near")
+        near = points.withColumn("x", nearest(F.col("word"), list(enumerate(map(int, chosen))), largest=False))
+        now = materialize(near.select("point", "word", "bits", F.col("x.c").alias("code"), F.col("x.d").alias("d")), "kmedians-near")
         total = now.count()
         changed = total if before is None else now.join(before.select("point", F.col("code").alias("old")), "point").where("code <> old").count()
         fresh = {r["code"]: r["centroid"] for r in bit_majority(now, "code").collect()}

@@ -105,8 +105,7 @@ def _listed(occ: str) -> Column:
 
 
 def _grid(spark: SparkSession, mode: str) -> DataFrame:
-    n = spark.range(51)
-    rows = n.select((F.col("id") / 50).alias("c")).join(n.select((F.col("id") / 2).alias("d")))  # a fixed grid of 51 by 51
+    rows = spark.range(51 * 51).select((F.floor(F.col("id") / 51) / 50).alias("c"), (F.col("id") % 51 / 2).alias("d"))
     return rows.withColumn("class", decide.classify(F.col("c"), F.col("d"), mode))
 
 
@@ -115,9 +114,9 @@ def _majority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hamming_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _majority(spark, sf_dir)  # one row for each label
-    n = m.select(F.col("code").alias("b"), F.col("centroid").alias("cb"))
-    return m.join(F.broadcast(n)).select(F.col("code").alias("a"), "b", quantize.hamming(F.col("centroid"), F.col("cb")).cast("int").alias("dist"))
+    m = _majority(spark, sf_dir)
+    others = F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.lit(c).cast("bigint").alias("c")) for i, c in quantize.codewords(m)])).alias("o")
+    return m.select(F.col("code").alias("a"), "centroid", others).select("a", "o.b", quantize.hamming(F.col("centroid"), F.col("o.c")).cast("int").alias("dist"))
 
 
 def _bits(word: Column) -> Column:
