@@ -114,6 +114,43 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, odd_rows()), "doc_id", "text").count() == len(odd_rows())
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at{0}http://www.apache.org/licenses/LICENSE-2.0{0}Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD2, APACHE2 = "BSDpre BSDsource BSDbinary BSDasis", "Apache2ref Apache2use Apache2copy Apache2asis Apache2see"
+WRAPPED = [
+    (1, "Copyright (c) 2001, Someone\nAll rights reserved.\n\n" + BSD, "AllRights " + BSD2, "BSD-2-Clause Proprietary"),
+    (2, "SPDX-License-Identifier: MIT\n" + BSD, "MITref " + BSD2, "BSD-2-Clause MIT"),
+    (3, "A heading\n" + APACHE.format("\n\n    "), APACHE2, "Apache-2.0"),
+    (4, APACHE.format(" "), APACHE2, "Apache-2.0"),
+    (5, BSD + "\n\n" + APACHE.format("\n"), f"{BSD2} {APACHE2}", "BSD-2-Clause Apache-2.0"),
+    (6, "This project is\nlicensed under the MIT license.", "MITref", "MIT"),
+    (7, "All rights. Reserved.", "", ""),
+]
+
+
+def test_licenses_wrapped_beside_known_lines(spark):
+    got = licenses.scan_licenses(spark.createDataFrame([x[:2] for x in WRAPPED], "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id: (r.sentence_ids, r.licenses, r.n_known) for r in got} == {i: (s, x, len(s.split())) for i, _, s, x in WRAPPED}
+
+
 def test_licenses_agree_with_sql(spark, sf_dir):
     import duckdb
 

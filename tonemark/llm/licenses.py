@@ -83,33 +83,35 @@ NOT_WORD = r"[^\p{L}\p{N}.+\-\n!?;]+"
 ENDS = r"[.!?;]+([ \n]|$)"
 
 
-def normalised(text: Column) -> Column:
-    """Sentences, one to a line: lower case, words parted by one space."""
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " ")
-    return F.regexp_replace(words, ENDS, "\n")
+#: A URL ends a sentence; so does this mark, which line ends do not become.
+URL, END = r"\b[a-z][a-z0-9+.\-]*://[^\s]*", "\x01"
 
 
-def sentences(lines: Column) -> Column:
-    return F.transform(F.split(lines, "\n"), lambda s: F.trim(s))
+def normalised(text: Column) -> Column:
+    """Lower case, words parted by blanks; sentence ends are END, line ends stay."""
+    lines = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), URL, "\n")
+    return F.regexp_replace(F.regexp_replace(lines, NOT_WORD, " "), ENDS, END)
 
 
-def known(array: Column, table: Sequence[tuple[str, str]]) -> Column:
+def known(words: Column, table: Sequence[tuple[str, str]]) -> Column:
+    """Identifiers of the known sentences in text order, the longest where several start: from the start of a line or sentence to the end of one, over line ends but not sentence ends."""
+    if not table:
+        return F.array().cast("array<string>")
     ids = F.create_map(*[F.lit(x) for pair in dict(table).items() for x in pair])
-    return F.transform(F.filter(array, lambda s: s.isin([s for s, _ in table])), lambda s: F.element_at(ids, s))
+    found = "|".join(r"[ \n]+".join(rf"\Q{w}\E" for w in s.split(" ")) for s in sorted(dict(table), key=len, reverse=True))
+    pattern = rf"(?:^|[\n{END}]) *({found})(?= *(?:[\n{END}]|\z))"
+    return F.transform(F.regexp_extract_all(words, F.lit(pattern), 1), lambda s: F.element_at(ids, F.regexp_replace(s, r"[ \n]+", " ")))
 
 
 def scan_licenses(df: DataFrame, id_col: str, text_col: str, table: Sequence[tuple[str, str]] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
     """One row for each row of df: id, n_known, sentence_ids (parted by blanks), licenses (parted by blanks, in the order of the rules), unmatched.
 
-    Lines end sentences; where no line holds a known sentence the whole text is read once more with line ends as
-    blanks, for sentences wrapped over lines. unmatched counts identifiers that no rule took. A null or
+    A known sentence may be wrapped over lines, and starts and ends at a line's or sentence's end or a URL. unmatched counts identifiers that no rule took. A null or
     empty text has no sentence: counts 0 and empty strings. Repeated rows come out as often; an empty table gives no
     rows; other columns of df are not read. table and rules are small and fixed: each is a literal in the plan.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = rows.withColumn("__a", known(sentences(normalised(F.col("__text"))), table))
-    wrapped = known(sentences(normalised(F.translate("__text", "\n", " "))), table)
-    rows = rows.withColumn("__ids", F.when(F.size("__a") > 0, F.col("__a")).otherwise(wrapped)).withColumn("sentence_ids", F.array_join("__ids", " "))
+    rows = rows.withColumn("__ids", known(normalised(F.col("__text")), table)).withColumn("sentence_ids", F.array_join("__ids", " "))
     # the sequence with a blank around each identifier; a rule's identifiers stand in its order, others may lie between
     rows = rows.withColumn("__s0", F.when(F.size("__ids") > 0, F.concat(F.lit(" "), F.array_join("__ids", "  "), F.lit(" "))).otherwise(F.lit("")))
     found = []
