@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -91,6 +92,14 @@ def test_url_model_on_pages_it_has_not_seen(spark):
     assert np.mean(np.array(bad) >= 0.5) > 0.9 and np.mean(np.array(good) < 0.5) > 0.98
 
 
+def test_url_table_holds_no_word_of_the_held_out_kinds():
+    """No test page's host, and no half of the kinds that the README counts as unseen."""
+    urls = [u for u, _ in url_filter.sample_urls()]
+    words = set(re.findall("[a-z]+", " ".join(urls)))
+    assert not words & {"free", "bets", "ads", "track", "adult", "x"}
+    assert not any(h in u for u in urls for h in ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"))
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
