@@ -84,6 +84,26 @@ def test_packing_is_whole_and_close_to_full(spark, texts):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 1024) + 3
 
 
+def test_packing_queries_have_the_unmodified_library_ids(spark, tmp_path):
+    import corpus_pipeline
+    from tonemark.llm import queries
+
+    rows = odd_rows() + [(100, "a plain text<|endoftext|>and another", "en", "a", 1), (101, "<|endoftext|>", "en", "a", 1), (102, "日本<|endoftext|> x <|endoftext|", "en", "a", 1)]
+    library = Tokenizer.from_file(JSON)
+    assert 50256 in library.encode(rows[-3][1], add_special_tokens=False).ids
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        start = 0
+        for k, n in enumerate(packing.cut(len(ids), 1024)):
+            want[i, k, start, n, zlib.crc32(ids[start : start + n].tobytes())] += 1
+            start += n
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = queries.op8_best_fit_packing(spark, str(tmp_path))
+    for got in (whole, corpus_pipeline.pack(spark, docs(spark, rows), str(tmp_path))):
+        assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got.collect()) == want
+
+
 def test_search_empties_a_bin_by_exchange():
     # best fit alone would leave three bins: one for one and two for one make room
     sizes = [60, 60, 40, 30, 10]

@@ -25,17 +25,19 @@ GROUP = 8_000
 #: Characters that both tokenizer libraries class alike for certain; other texts go to the slower one.
 _ODD = re.compile("[^\t\n\x20-\x7e\xa0-ɏ]")
 
-_encoders: dict[tuple[str, str], "Encoder"] = {}
+_encoders: dict[tuple[str, str, bool], "Encoder"] = {}
 
 
 class Encoder:
-    """Ids of the byte-level vocabulary in json_path. ranks_path: the same vocabulary as ranks, which is several times faster; strings of special tokens are ordinary text."""
+    """Ids of the byte-level vocabulary in json_path. ranks_path: the same vocabulary as ranks, which is several times faster. special: strings of added tokens get the tokens' ids, as the library does by itself; otherwise those of special tokens are ordinary text."""
 
-    def __init__(self, json_path: str, ranks_path: str | None):
+    def __init__(self, json_path: str, ranks_path: str | None, special: bool = False):
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_path)
-        self.exact.encode_special_tokens = True
+        self.exact.encode_special_tokens = not special
+        #: texts with one of these strings are for the exact tokenizer, too
+        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values() if special or not t.special]
         self.fast = None
         if ranks_path:
             import base64
@@ -48,15 +50,15 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and not _ODD.search(text):
+        if self.fast is not None and not _ODD.search(text) and not any(a in text for a in self.added):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 
 
-def encoder(json_path: str, ranks_path: str | None) -> Encoder:
-    key = (json_path, ranks_path or "")
+def encoder(json_path: str, ranks_path: str | None, special: bool = False) -> Encoder:
+    key = (json_path, ranks_path or "", special)
     if key not in _encoders:
-        _encoders[key] = Encoder(json_path, ranks_path)
+        _encoders[key] = Encoder(json_path, ranks_path, special)
     return _encoders[key]
 
 
@@ -66,12 +68,12 @@ def cut(n: int, size: int) -> list[int]:
     return [first] * (first > 0) + [size] * (n // size)
 
 
-def pieces(df: DataFrame, id_col: str, text_col: str, json_path: str, ranks_path: str | None, end_id: int, size: int) -> DataFrame:
+def pieces(df: DataFrame, id_col: str, text_col: str, json_path: str, ranks_path: str | None, end_id: int, size: int, special: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 for each piece. A null text is empty: only the end id."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        e = encoder(json_path, ranks_path)
+        e = encoder(json_path, ranks_path, special)
 
         def each(x):
             out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
@@ -176,16 +178,17 @@ def pack_sizes(sizes: list[int], room: int) -> list[list[int]]:
     return search(sizes, best_fit(sizes, room), room)
 
 
-def pack(df: DataFrame, id_col: str, text_col: str, json_path: str, ranks_path: str | None = None, end_id: int = 2, size: int = 1024, group: int = GROUP) -> DataFrame:
+def pack(df: DataFrame, id_col: str, text_col: str, json_path: str, ranks_path: str | None = None, end_id: int = 2, size: int = 1024, group: int = GROUP, special: bool = False) -> DataFrame:
     """One row for each piece of each row of df: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Each document is its ids and end_id; only one longer than size is cut, and then only its first piece may be
     shorter. Every piece lies whole in one sequence of at most size tokens, without gaps. A null text is empty (the end
     id alone). Repeated rows are packed as often as they occur, ties go by order of arrival, an empty table gives no rows;
     other columns of df are not read. group: pieces that are packed at once, which bounds the memory of a task.
+    special: strings of special tokens in a text get the tokens' ids instead of those of ordinary text.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    rows = materialize(pieces(df, id_col, text_col, json_path, ranks_path, end_id, size), "pieces")
+    rows = materialize(pieces(df, id_col, text_col, json_path, ranks_path, end_id, size, special), "pieces")
     n = max(1, -(-rows.count() // group))
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     out = pa_schema(df.sparkSession, schema)
