@@ -30,21 +30,45 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, block_no, lid, t, f, w, e: distorted slices of every tenth recording, and streams from orders that match none."""
+    """query_id, block_no, lid, t, f, w, e: distorted slices of every tenth recording, and the starts of streams from orders that match none. The SQL has the same subset."""
     own = corpus(spark, sf_dir).where((F.col("fid") % 10 == 0) & F.col("lid").between(FIRST, LAST))
+    own = own.withColumn("lid", (F.col("lid") - FIRST).cast("int")).withColumn("t", (F.col("t") - 4 * FIRST).cast("int"))
+    return _queries(own, _streams(spark, sf_dir).where(F.col("lid") < UNRELATED))
+
+
+def all_query_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like query_fingerprints, for a slice of every recording and all rows of orders, cut into clips of UNRELATED rows.
+
+    A recording that ends before LAST gives its last rows, at most as many. The first clip of a stream has the stream's id.
+    """
+    length = LAST - FIRST + 1
+    rows = corpus(spark, sf_dir)
+    ends = F.max("lid").over(Window.partitionBy("fid")) + 1
+    own = rows.withColumn("start", F.greatest(F.lit(0), F.least(F.lit(FIRST), ends - length)))
+    own = own.where(F.col("lid").between(F.col("start"), F.col("start") + length - 1))
+    own = own.withColumn("lid", (F.col("lid") - F.col("start")).cast("int")).withColumn("t", (F.col("t") - 4 * F.col("start")).cast("int"))
+    other = _streams(spark, sf_dir).withColumn("query_id", F.col("query_id") + STREAMS * F.floor(F.col("lid") / UNRELATED).cast("int"))
+    return _queries(own, other.withColumn("lid", F.col("lid") % UNRELATED))
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    w = Window.partitionBy(F.col("o_custkey") % STREAMS).orderBy("o_orderkey")
+    rows = rows.withColumn("lid", (F.row_number().over(w) - 1).cast("int"))
+    return rows.withColumn("query_id", (1_000_000 + F.col("o_custkey") % STREAMS).cast("int"))
+
+
+def _queries(own: DataFrame, rows: DataFrame) -> DataFrame:
     own = own.select(
         F.col("fid").alias("query_id"),
-        (F.col("lid") - FIRST).cast("int").alias("lid"),
-        (F.col("t") - 4 * FIRST).cast("int").alias("t"),
+        "lid",
+        "t",
         "f",
-        F.when((F.col("lid") - FIRST) % 5 == 0, (F.col("w") + 1) % 100).otherwise(F.col("w")).cast("int").alias("w"),
+        F.when(F.col("lid") % 5 == 0, (F.col("w") + 1) % 100).otherwise(F.col("w")).cast("int").alias("w"),
         "e",
     )
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    w = Window.partitionBy(F.col("o_custkey") % STREAMS).orderBy("o_orderkey")
-    rows = rows.withColumn("lid", (F.row_number().over(w) - 1).cast("int")).where(F.col("lid") < UNRELATED)
     other = rows.select(
-        (1_000_000 + F.col("o_custkey") % STREAMS).cast("int").alias("query_id"),
+        "query_id",
         "lid",
         (4 * F.col("lid") + F.col("o_orderkey") % 3).cast("int").alias("t"),
         (36 + (F.col("o_orderkey") * 53 + F.col("o_custkey") * 7) % 521).cast("int").alias("f"),
