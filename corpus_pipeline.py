@@ -40,11 +40,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class of near duplicates, once; rows without a doc_id can't be told apart and stay."""
-    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    """Keeps one row of each class of near duplicates: that with the least doc_id, rows without one last, and of several texts under this id one of the class."""
+    row = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text"))
+    found = jaccard_join.near_duplicates(docs.select(row().alias("row"), "text"), "row")
+    first = found.where(F.col("row") == F.col("class_id")).select(F.col("row").alias("first"), (F.col("n_links") > 0).alias("linked")).distinct()
+    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(docs.columns)]
+    named = docs.select(row().alias("row"), *columns).join(first, F.col("row") == F.col("first"))
+    kept = named.where("linked").dropDuplicates(["row"]).union(named.where("not linked"))
+    return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

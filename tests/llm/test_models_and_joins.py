@@ -248,3 +248,15 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     assert set(packed.doc_id) == set(first)
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_pipeline_near_duplicates_with_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(900 + i, 80) for i in range(4))
+    # under id 2 a copy of id 1's text and one of its own; null ids with a copy of each other, and one of id 3's
+    rows = [(1, a), (2, a), (2, b), (3, c), (None, d), (None, d), (None, c), (4, b), (None, None), (5, ""), (6, c)]
+    frame = docs(spark, [(i, t, "en", "a", 1) for i, t in rows]).withColumns({"row": F.lit(1), "first": F.lit(2)})
+    got = corpus_pipeline.near_duplicates(spark, frame, str(tmp_path))
+    assert got.columns == frame.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(1, a), (2, b), (3, c), (None, d), (None, None), (5, "")])
