@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from tests.llm import licence_texts
 from tests.llm.data import DOCS, docs, odd_rows, prose
 from tokenizers import Tokenizer, models
 
@@ -171,6 +172,39 @@ def test_licenses_wrapped_beside_known_lines(spark):
     assert {r.doc_id: (r.sentence_ids, r.licenses, r.n_known) for r in got} == {i: (s, x, len(s.split())) for i, _, s, x in WRAPPED}
 
 
+def licence_rows():
+    rows = [(t, n) for x, n in licence_texts.TEXTS for t in (f(x) for f in licence_texts.SHAPES.values())]
+    rows += [(a + "\n\n" + b, f"{x} {y}") for a, x in licence_texts.TEXTS for b, y in licence_texts.TEXTS if x != y]
+    rows += [
+        ("Copyright (c) 2012 Some Widgets Inc. All rights reserved.", "Proprietary"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+        ("// SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        ("All rights reserved.\n" * 3000 + licence_texts.BSD3, "BSD-3-Clause Proprietary"),
+        ("* " + "redistribution and use " * 2000, ""),
+        (licence_texts.BSD3 + "\n" + licence_texts.BSD3, "BSD-3-Clause"),
+        ("All of these rights are\nreserved for licensed software.", ""),
+    ]
+    return [(i, t, n) for i, (t, n) in enumerate(rows)]
+
+
+def test_canonical_licence_texts_in_all_shapes_and_mixtures(spark, tmp_path):
+    import duckdb
+
+    from tonemark.llm import queries
+
+    rows = licence_rows()
+    spark.createDataFrame([*((i, t) for i, t, _ in rows), (-1, None), (-2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_license_scans(spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    names = dict(zip(got.doc_id, got.licenses, strict=True))
+    assert {i: sorted(names[i].split()) for i, _, _ in rows} == {i: sorted(n.split()) for i, _, n in rows}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op4_license_scans"]).df().sort_values("doc_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False)
+    assert licenses.scan_licenses(docs(spark, []), "doc_id", "text").count() == 0
+
+
 def test_licenses_agree_with_sql(spark, sf_dir):
     import duckdb
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from tonemark.plans.scratch import materialize, shared_dir  # noqa: F401
+
 #: Rows that become Python objects at once.
 ROWS = 1_000
 #: Rows that components() may broadcast.
@@ -19,35 +19,6 @@ MANY = 50_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session may lack it; it then gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    now = context._jsc.sc().getCheckpointDir()
-    if not now.isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tonemark-"))
-        now = context._jsc.sc().getCheckpointDir()
-    return now.get().rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage.
-
-    A lost executor then costs a read, not the whole history.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over columns as Python lists. make() runs once in each task and returns the function for a batch."""
     spark = df.sparkSession
@@ -74,7 +45,8 @@ def words_bytes(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A character of one of the Unicode categories of letters; digits of any script, fractions and number forms are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], schema: str) -> DataFrame:
@@ -119,7 +91,7 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): for each node of edges (a, b) the least node of its connected component.
 
     Alternating large-star and small-star steps, each an aggregation and a join; a written table cuts the lineage after
@@ -129,23 +101,28 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 50) ->
 
     now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     seen = None
-    for _ in range(rounds):
+    while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
         if mark["n"] == 0 or (mark["n"], mark["x"]) == seen:
             break
         seen = (mark["n"], mark["x"])
+        # with n edges at most MANY nodes have over 2 n / MANY neighbours, so that a table of these may be broadcast
+        bar = max(1_000, 2 * mark["n"] // MANY)
         # large star: each node links its larger neighbours to the least one around it
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("c")), name)
-        # nodes with very many neighbours would meet all of them in one task, so their minimum goes to the neighbours
-        # instead; with n edges at most MANY nodes have over 2 n / MANY neighbours, so this broadcast is bounded
-        bar = max(1_000, 2 * mark["n"] // MANY)
-        hot = least.where(F.col("c") > bar).select("a", "m")
-        rest = both.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.where(F.col("c") <= bar).select("a", "m"), "a")
-        large = both.join(F.broadcast(hot), "a").unionByName(rest).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = materialize(_to_least(both, bar, name).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), name)
         # small star: each node links its smaller neighbours, and itself, to the least of them
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        now = materialize(small.where("a <> b").distinct(), name)
+        low = _to_least(large.select(F.col("b").alias("a"), F.col("a").alias("b")), bar, name)
+        now = materialize(low.select(F.col("m").alias("a"), "b").union(low.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), name)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def _to_least(pairs: DataFrame, bar: int, name: str) -> DataFrame:
+    """a, b and m, the least of a's neighbours b and a itself. A node with over `bar` neighbours would meet all of them in one
+    task of a join by node: its minimum goes to them as a broadcast instead, and only the others are joined by node."""
+    from pyspark.sql import functions as F
+
+    least = materialize(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("c")), name)
+    hot = least.where(F.col("c") > bar).select("a", "m")
+    rest = pairs.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.where(F.col("c") <= bar).select("a", "m"), "a")
+    return pairs.join(F.broadcast(hot), "a").unionByName(rest)

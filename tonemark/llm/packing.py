@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -112,65 +111,96 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def search(sizes: list[int], bins: list[list[int]], room: int, most: int | None = None) -> list[list[int]]:
-    """Empties bins by moves and exchanges that increase the sum of squared fills. most: steps, 20 for each piece if None."""
-    size = np.array(sizes, dtype=np.int64)
-    fill = np.array([int(size[b].sum()) for b in bins], dtype=np.int64)
-    under = [b for b in range(len(bins)) if fill[b] < room]
-    items = np.array([i for b in under for i in bins[b]], dtype=np.int64)
-    if not len(items):
-        return bins
-    where = np.full(len(sizes), -1, dtype=np.int64)  # bin of each piece
-    for b in under:
-        where[bins[b]] = b
-    s = size[items]
-    most = 20 * len(items) if most is None else most
-    open_bins = np.array(under, dtype=np.int64)
-
-    def put(i: int, a: int, b: int) -> None:
-        bins[a].remove(i)
-        bins[b].append(i)
-        fill[a] -= size[i]
-        fill[b] += size[i]
-        where[i] = b
-
-    def partner(give: int, v: int) -> int:
-        """The piece of a fuller bin that is smaller than give by what fits there, with the largest gain; -1 if there is none."""
-        b = where[items]
-        d = give - s
-        gain = d * (fill[b] - fill[v] + d)
-        gain[(d <= 0) | (d > room - fill[b]) | (b == v)] = 0
-        k = int(gain.argmax())
-        return int(items[k]) if gain[k] > 0 else -1
+def search(sizes: list[int], bins: list[list[int]], room: int) -> list[list[int]]:
+    """Empties bins by moves, one-for-one and two-for-one exchanges, each of which increases the sum of squared fills.
+
+    Ends when no bin has such a step, or when there are as few bins as the sizes allow. For each size a table has the
+    fullest bin, up to any fill, that holds a piece of this size; so a step looks at every pair of distinct sizes of a
+    bin (of which room allows few) against every piece of every other bin.
+    """
+    bins = [list(b) for b in bins]
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    least = -(-sum(sizes) // room)
+    live = sum(map(bool, bins))
+    holders: dict[int, dict[int, int]] = {}  # size: bins that hold it, and how often
+    levels: dict[int, set[int]] = {}  # fill: its bins
+    best = np.full((room + 1, room + 1), -1, dtype=np.int32)  # size, x: greatest fill up to x of a bin that holds the size
+
+    def row(s: int) -> None:
+        best[s] = -1
+        at = np.array([fill[b] for b in holders.get(s, ())], dtype=np.int64)
+        best[s, at] = at
+        np.maximum.accumulate(best[s], out=best[s])
+
+    for b, items in enumerate(bins):
+        levels.setdefault(fill[b], set()).add(b)
+        for i in items:
+            held = holders.setdefault(sizes[i], {})
+            held[b] = held.get(b, 0) + 1
+    for s in holders:
+        row(s)
+
+    def move(give: list[int], a: int, take: list[int], b: int) -> None:
+        """Pieces give of bin a go to bin b, take come back."""
+        nonlocal live
+        changed = {sizes[i] for i in bins[a]} | {sizes[i] for i in bins[b]}
+        for source, target, items in ((a, b, give), (b, a, take)):
+            for i in items:
+                s = sizes[i]
+                bins[source].remove(i)
+                bins[target].append(i)
+                holders[s][source] -= 1
+                if not holders[s][source]:
+                    del holders[s][source]
+                holders[s][target] = holders[s].get(target, 0) + 1
+        for x in (a, b):
+            levels[fill[x]].discard(x)
+            fill[x] = sum(sizes[i] for i in bins[x])
+            levels.setdefault(fill[x], set()).add(x)
+        live -= not bins[a]
+        for s in changed:
+            row(s)
 
     def step(v: int) -> bool:
-        mine = sorted(bins[v], key=lambda i: -size[i])
-        others = open_bins[(open_bins != v) & (fill[open_bins] > 0)]
-        for i in mine:  # move
-            left = room - fill[others] - size[i]
-            left[(left < 0) | (fill[others] + size[i] <= fill[v])] = room + 1
-            if len(left) and left.min() <= room:
-                put(i, v, int(others[left.argmin()]))
-                return True
-        for i in mine:  # one for one
-            if (j := partner(int(size[i]), v)) >= 0:
-                b = int(where[j])
-                put(j, b, v)
-                put(i, v, b)
-                return True
-        for i, k in combinations(mine[:12], 2):  # two for one
-            if (j := partner(int(size[i] + size[k]), v)) >= 0:
-                b = int(where[j])
-                put(j, b, v)
-                put(i, v, b)
-                put(k, v, b)
-                return True
+        mine: dict[int, list[int]] = {}
+        for i in bins[v]:
+            mine.setdefault(sizes[i], []).append(i)
+        own = sorted(mine, reverse=True)
+        for s in own:  # move to the fullest bin with room
+            for x in range(room - s, max(fill[v] - s, 0), -1):
+                if others := levels.get(x, set()) - {v}:
+                    move([mine[s][0]], v, [], min(others))
+                    return True
+        sums = {s: [mine[s][0]] for s in own}  # one for one
+        pairs = {s + t: [mine[s][0], mine[t][-1]] for k, s in enumerate(own) for t in own[k:] if s != t or len(mine[s]) > 1}
+        for given in (sums, pairs):
+            if not given:
+                continue
+            total = np.array(list(given), dtype=np.int64)
+            s = np.arange(1, room + 1)
+            d = total[:, None] - s[None, :]  # what the other bin gains
+            top = np.where(d > 0, best[s[None, :], np.clip(room - d, 0, room)], -1)
+            gain = np.where((top >= 0) & (d <= room), d * (top - fill[v] + d), 0)
+            while (at := int(gain.argmax())) >= 0 and gain.flat[at] > 0:
+                k, j = divmod(at, room)
+                size, level = int(s[j]), int(top[k, j])
+                found = [b for b in levels[level] if b != v and b in holders[size]]
+                if found:
+                    b = min(found)
+                    move(given[int(total[k])], v, [next(i for i in bins[b] if sizes[i] == size)], b)
+                    return True
+                # the only holder is v itself: the next fuller ones below
+                below = best[size, level - 1] if level else -1
+                top[k, j] = below
+                gain[k, j] = d[k, j] * (below - fill[v] + d[k, j]) if below >= 0 else 0
         return False
 
-    steps = 0
-    for v in sorted(under, key=lambda b: fill[b]):
-        while bins[v] and fill[v] < room and steps < most and step(v):
-            steps += 1
+    again = True
+    while again and live > least:
+        again = False
+        for v in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < room), key=lambda b: fill[b]):
+            while live > least and bins[v] and fill[v] < room and step(v):
+                again = True
     return [b for b in bins if b]
 
 

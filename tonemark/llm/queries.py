@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, language_id, licenses, multi_index, packing, quality_rules, sentencepiece_codec, token_counts, toxicity, url_filter
+from .license_sql import license_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,24 +77,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_sentencepiece, op4_license_scans, op5_nearest_neighbours, op6_quality_rules, op7_language_id, op8_best_fit_packing, op9_ngram_jaccard_join, op10_token_counts)}
 
 
-def license_sql() -> str:
-    """The licence scan over documents in SQL: the same sentences and rules as CASE expressions and patterns."""
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    split = lambda text: f"string_split(regexp_replace(regexp_replace(lower(coalesce({text}, '')), {quote(licenses.NOT_WORD)}, ' ', 'g'), {quote(licenses.ENDS)}, chr(10), 'g'), chr(10))"
-    table = dict(licenses.SENTENCES)
-    ids = lambda text: f"list_filter(list_transform({split(text)}, lambda x: CASE trim(x) {' '.join(f'WHEN {quote(s)} THEN {quote(i)}' for s, i in table.items())} END), lambda y: y IS NOT NULL)"
-    steps = [f"a AS (SELECT doc_id, {ids('text')} AS one, {ids('translate(text, chr(10), chr(32))')} AS other FROM documents)", "b AS (SELECT doc_id, CASE WHEN len(one) > 0 THEN one ELSE other END AS ids FROM a)"]
-    steps.append("r0 AS (SELECT *, CASE WHEN len(ids) > 0 THEN ' ' || array_to_string(ids, '  ') || ' ' ELSE '' END AS s0 FROM b)")
-    picks = []
-    for k, (name, needed) in enumerate(licenses.RULES):
-        pattern = "^(.*?) " + " (.*?) ".join(needed) + " (.*)$"
-        rest = f"replace(s{k}, {quote(f' {needed[0]} ')}, '')" if len(needed) == 1 else f"regexp_replace(s{k}, {quote(pattern)}, {quote(''.join(chr(92) + str(i + 1) for i in range(len(needed) + 1)))})"
-        steps.append(f"r{k + 1} AS (SELECT *, s{k} <> '' AND regexp_matches(s{k}, {quote(pattern)}) AS f{k}, {rest} AS s{k + 1} FROM r{k})")
-        before = "".join(f" AND NOT f{j}" for j, (other, _) in enumerate(licenses.RULES[:k]) if other == name)
-        picks.append(f"CASE WHEN f{k}{before} THEN {quote(name)} END")
-    n = len(licenses.RULES)
-    return f"""WITH {", ".join(steps)} SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ' ') AS sentence_ids,
-        array_to_string(list_filter([{", ".join(picks)}], lambda x: x IS NOT NULL), ' ') AS licenses, CAST(len(list_filter(string_split(s{n}, ' '), lambda x: x <> '')) AS BIGINT) AS unmatched FROM r{n}"""
-
-
 ORACLE_SQL: dict[str, str] = {"op4_license_scans": license_sql()}
