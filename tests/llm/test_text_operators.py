@@ -260,6 +260,64 @@ def test_mcd_fit_against_numpy(spark):
     assert d[d.x2 > 1.2].d.min() > d[d.x2 < 0.8].d.max()
 
 
+def plain_mcd(x):
+    """Mean and factor of the half with the least determinant: three starts, two steps of each, and the best one until it stays."""
+    n, p = x.shape
+    floor = np.array(quality_rules.SPREAD)
+
+    def fit(rows, scale=1.0):
+        m, v = rows.mean(axis=0), np.cov(rows.T, bias=True) * scale
+        low = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i + 1):
+                rest = v[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = max(rest, floor[i] ** 2) ** 0.5 if i == j else rest / low[j, j]
+        return m, low
+
+    def distances(f):
+        return (np.linalg.solve(f[1], (x - f[0]).T) ** 2).sum(axis=0)
+
+    def step(f):
+        d = distances(f)
+        return fit(x[d <= np.sort(d)[(n + p + 1) // 2 - 1]])
+
+    det = lambda f: np.log(np.diag(f[1])).sum()
+    median = lambda v: (np.sort(np.floor(v * 128), axis=0)[(n + 1) // 2 - 1] + 0.5) / 128
+    c = median(x)
+    wide = np.maximum(median(abs(x - c)) * 1.4826, floor)
+    fits = [step(step(f)) for f in ((c, np.diag(wide)), fit(x), fit(np.clip(x, c - 2 * wide, c + 2 * wide)))]
+    best = min(fits, key=det)
+    while det(new := step(best)) < det(best) - 1e-9:
+        best = new
+    d = distances(best)
+    near = x[d * quality_rules.CHI2_MEDIAN <= quality_rules.CHI2_NEAR * np.median(d)]
+    return best, fit(near, quality_rules.CONSISTENT)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mcd_equals_a_plain_one(spark, seed):
+    rng = np.random.default_rng(seed)
+    mixed = rng.normal(size=(5, 5)) * 0.2 + np.diag([0.6, 0.5, 0.7, 0.9, 0.6])
+    x = np.vstack([rng.normal(size=(60, 5)) @ mixed, rng.normal(size=(14, 5)) * 0.3 + [4, -3, 5, 4, -4]])
+    other = rng.normal(size=(90, 5)) @ mixed.T + 1
+    frame = spark.createDataFrame([(g, *map(float, r)) for g, rows in (("a", x), ("b", other)) for r in rows], "g string, x1 double, x2 double, x3 double, x4 double, x5 double")
+    raw = {r.g: r for r in quality_rules.least_determinant(frame, True).collect()}
+    final = {r.g: r for r in quality_rules.fit_mcd(frame, False).collect()}
+    for g, rows in (("a", x), ("b", other)):
+        half, near = plain_mcd(rows)
+        for got, want in ((raw[g], half), (final[g], near)):
+            np.testing.assert_allclose([got[f"m{i}"] for i in range(5)], want[0], atol=1e-6 if got is raw[g] else 0.05)
+            np.testing.assert_allclose([got[f"l{i}{j}"] for i in range(5) for j in range(i + 1)], [want[1][i, j] for i in range(5) for j in range(i + 1)], atol=1e-6 if got is raw[g] else 0.05)
+
+
+def test_small_groups_are_judged_by_their_language(spark):
+    rows = [(i, prose(i, 120 + i % 50), "en", "a" if i < 100 else f"s{i}", 1) for i in range(110)] + [(900, prose(1, 90).replace(" ", "%%% "), "en", "s900", 1), (901, prose(2, 90).replace(" ", "%%% "), "xx", None, 1)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality(docs(spark, rows)).collect()}
+    assert all(got[i] for i in range(110)) and not got[900] and not got[901]
+    few = {r.doc_id: r for r in quality_rules.quality(docs(spark, rows[:10])).collect()}
+    assert all(r.distance is not None and r.kept for r in few.values())
+
+
 @pytest.fixture(scope="module")
 def network():
     samples = [(prose(i, 60, lang).encode()[:256], lang) for i in range(60) for lang in ("en", "fr")]

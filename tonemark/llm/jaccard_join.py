@@ -6,6 +6,9 @@ functions, and nodes that share a sampled token go down the same path together.
 by brute force, and the whole is repeated, so that two sets at the threshold meet with the wanted
 probability. Buckets only say which nodes belong together; within such a component every pair is
 then compared exactly, block by block, so that all links between its texts are counted without listing them.
+
+A link at the threshold is lost only if its sets never meet in a bucket (RECALL) or differ in far more minima than
+expected (LIKELY, under one in 100,000), and no third set joins them.
 """
 
 from __future__ import annotations
@@ -15,17 +18,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, map_groups, materialize, words_bytes
+from .common import MANY, components, map_arrow, map_groups, materialize, words_bytes
 
 WORDS, THRESHOLD = 5, 0.8
 #: Minima in a signature; tokens sampled at each node of a path; wanted recall at the threshold.
 MINIMA, SAMPLED, RECALL = 64, 2, 0.999
 #: A bucket up to SMALL is compared at once; one up to LARGE is split within a task; a larger one is split by Spark, DEPTH times.
 SMALL, LARGE, DEPTH = 32, 2_048, 3
-#: Nodes of a block in the exact comparison.
-BLOCK = 512
-#: Agreement of two signatures from which their nodes may belong together: the threshold less three standard deviations.
-LIKELY = THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / MINIMA) ** 0.5
+#: Nodes, and shingles, of a block in the exact comparison; cells of a matrix that it holds at once.
+BLOCK, BLOCK_SHINGLES, CELLS = 2_048, 4_000_000, 8_000_000
+#: Agreement of two signatures from which their nodes may belong together: the threshold less four and a half standard deviations.
+LIKELY = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / MINIMA) ** 0.5
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,10 +96,14 @@ def close(sig: np.ndarray) -> np.ndarray:
 
 
 def spread(near: np.ndarray) -> np.ndarray:
-    label = np.arange(len(near))
+    """For each row of a matrix of links the first row of its component."""
+    n = len(near)
+    label = np.arange(n)
     while True:
-        new = np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near))
-        new = np.minimum(new, label)
+        new = label.copy()
+        for a in range(0, n, 256):
+            part = np.where(near[a : a + 256], label[None, :], n)
+            new[a : a + 256] = np.minimum(label[a : a + 256], part.min(axis=1, initial=n))
         new = new[new]
         if (new == label).all():
             return label
@@ -135,17 +142,18 @@ def together(sig: np.ndarray, path: int) -> list[tuple[int, int]]:
 def _nodes(df: DataFrame, words: int) -> DataFrame:
     def make():
         def each(x):
-            keys, sigs = [], []
+            keys, sigs, sizes = [], [], []
             for t in x["text"]:
                 s = shingles(t, words)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            return {"id": x["id"], "key": keys, "sig": sigs}
+                sizes.append(len(s))
+            return {"id": x["id"], "h": x["h"], "key": keys, "sig": sigs, "size": sizes}
 
         return each
 
     kind = df.schema["id"].dataType.simpleString()
-    return materialize(map_arrow(df, make, f"id {kind}, key binary, sig binary"), "join-documents")
+    return materialize(map_arrow(df, make, f"id {kind}, h bigint, key binary, sig binary, size bigint"), "join-documents")
 
 
 def _paths(nodes: DataFrame, first: int) -> DataFrame:
@@ -210,17 +218,33 @@ def candidates(nodes: DataFrame, runs: int) -> DataFrame:
 
 def linked(sets: list[np.ndarray], threshold: float, left: np.ndarray | None = None) -> np.ndarray:
     """Which pairs of sets have a Jaccard similarity of at least the threshold; with left only pairs across it."""
-    size = np.array([len(s) for s in sets])
-    _, all_ = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    mark = np.zeros(int(all_.max()) + 1, dtype=np.int32)
-    near = np.zeros((len(sets), len(sets)), dtype=bool)
-    for i in range(len(sets)):
-        own = all_[starts[i] : starts[i] + size[i]]
-        mark[own] = 1
-        both = np.add.reduceat(mark[all_], starts)
-        mark[own] = 0
-        near[i] = both >= threshold * (size + size[i] - both) - 1e-9
+    n, size = len(sets), np.array([len(s) for s in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(n), size)
+    shared = counts[at] > 1  # only these can be in an intersection
+    names, at = np.unique(at[shared], return_inverse=True)
+    of = of[shared]
+    near = np.zeros((n, n), dtype=bool)
+    if n * len(names) < 30 * max(1, len(at)):  # most shared ones are in many sets: as a product of matrices, some columns at once
+        both = np.zeros((n, n), dtype=np.float32)  # exact up to 2**24 shingles
+        order = np.argsort(at, kind="stable")
+        at, of = at[order], of[order]
+        width = max(1, CELLS // n)
+        for a in range(0, len(names), width):
+            lo, hi = np.searchsorted(at, [a, a + width])
+            x = np.zeros((n, min(width, len(names) - a)), dtype=np.float32)
+            x[of[lo:hi], at[lo:hi] - a] = 1
+            both += x @ x.T
+        for a in range(0, n, 256):
+            near[a : a + 256] = both[a : a + 256] >= threshold * (size[a : a + 256, None] + size[None, :] - both[a : a + 256]) - 1e-6
+    else:
+        order = np.argsort(at, kind="stable")
+        holders, first = of[order], np.searchsorted(at[order], np.arange(len(names) + 1))
+        mine = np.searchsorted(of, np.arange(n + 1))
+        for i in range(n):
+            own = at[mine[i] : mine[i + 1]]
+            both = np.bincount(np.concatenate([holders[first[u] : first[u + 1]] for u in own]) if len(own) else own, minlength=n)
+            near[i] = both >= threshold * (size + size[i] - both) - 1e-9
     if left is not None:
         near &= left[:, None] != left[None, :]
     np.fill_diagonal(near, False)
@@ -236,37 +260,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     its own class. Rows with a null id take part; a class of such rows only has a null id. Repeated rows are copies of
     each other. An empty table gives no rows; other columns of df are not read.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
     docs = _nodes(base, words)
-    nodes = docs.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig"))
-    nodes = materialize(nodes, "join-nodes")
+    # a node is told by its key; the row that gives its text by id and the text's hash, n_rows of which are equal
+    rows = docs.where(F.col("key").isNotNull()).groupBy("key", "id", "h").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig"), F.min("size").alias("size"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", F.col("n").alias("n_rows"))).alias("row")
+    nodes = rows.groupBy("key").agg(first, F.sum("n").alias("n"), F.min("sig").alias("sig"), F.min("size").alias("size"))
+    nodes = materialize(nodes.select("key", F.col("row.id").alias("rep"), F.col("row.h").alias("h"), F.col("row.n_rows").alias("n_rows"), "n", "sig", "size"), "join-nodes")
     parts = materialize(components(candidates(nodes, runs_for(recall, threshold)), "join-components"), "join-parts")
-    sizes = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    members = nodes.select("key", "rep", "n").join(parts.withColumnRenamed("node", "key"), "key").join(sizes, "root")
-    texts = members.join(base, F.col("rep").eqNullSafe(F.col("id"))).select("root", "key", "n", "blocks", "text")
+    members = nodes.select("key", "rep", "h", "n_rows", "n", "size").join(parts.withColumnRenamed("node", "key"), "key")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    members = members.join(sizes, "root").withColumnRenamed("h", "rep_h")
+    texts = members.join(base, (F.col("rep_h") == F.col("h")) & F.col("rep").eqNullSafe(F.col("id"))).select("root", "key", "n", "n_rows", "blocks", "text")
+    texts = texts.where("n_rows = 1").union(texts.where("n_rows > 1").dropDuplicates(["key"])).drop("n_rows")
     i = F.pmod(F.xxhash64("key"), F.col("blocks"))
     pairs = texts.withColumn("i0", i).withColumn("j0", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("root", F.least("i0", "j0").alias("i"), F.greatest("i0", "j0").alias("j"), (F.col("i0") > F.col("j0")).alias("second"), "key", "n", "blocks", "text")
 
     def make():
         def each(x):
-            at: dict[bytes, int] = {}
-            sets: list[np.ndarray] = []
-            for k, (key, text) in enumerate(zip(x["key"], x["text"], strict=True)):
-                if key not in at:  # an id may have several texts: only the one that gave the key counts
-                    s = shingles(text, words)
-                    if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key:
-                        at[key] = k
-                        sets.append(s)
+            keys, sets = x["key"], [shingles(t, words) for t in x["text"]]
             if len(sets) < 2:
                 return None
-            keys, rows = list(at), list(at.values())
-            across = np.array([x["second"][k] for k in rows]) if x["i"][0] != x["j"][0] else None
+            across = np.array(x["second"]) if x["i"][0] != x["j"][0] else None
             near = linked(sets, threshold, across)
-            n = np.array([x["n"][k] for k in rows], dtype=np.int64)
+            n = np.array(x["n"], dtype=np.int64)
             label = spread(near)
-            least = {int(r): min(keys[k] for k in np.flatnonzero(label == r)) for r in np.unique(label)}
-            return {"key": keys, "links": (near @ n).tolist(), "first": [least[int(r)] for r in label], "blocks": [x["blocks"][0]] * len(keys)}
+            least: dict[int, bytes] = {}
+            for k, r in zip(keys, label.tolist(), strict=True):
+                least[r] = min(k, least.get(r, k))
+            return {"key": keys, "links": [int(n[row].sum()) for row in near], "first": [least[int(r)] for r in label], "blocks": x["blocks"]}
 
         return each
 
@@ -278,7 +301,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = nodes.select("key", "rep", "n").join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = materialize(named.where((F.col("n") > 1) | (F.col("links") > 0)), "join-named")
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    told = named.join(least, "root").select("key", "class_id", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = docs.select("id", "key").join(told, "key", "left")
+    told = materialize(named.join(least, "root").select("key", "class_id", "rep", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "join-told")
+    # keys of very many rows would meet all of them in one task: there are at most MANY / 2 of these, which are broadcast
+    bar = max(1_000, 2 * (named.agg(F.sum("n")).first()[0] or 0) // MANY)
+    with_key, without = docs.where(F.col("key").isNotNull()).select("id", "key"), docs.where(F.col("key").isNull()).select("id", "key")
+    hot = told.where(F.col("n") > bar)
+    rare = with_key.join(F.broadcast(hot.select("key")), "key", "left_anti").join(told.where(F.col("n") <= bar), "key", "left")
+    none = without.select("key", "id", *[F.lit(None).cast(told.schema[c].dataType).alias(c) for c in told.columns if c != "key"])
+    out = rare.unionByName(with_key.join(F.broadcast(hot), "key")).unionByName(none)
     alone = F.col("n_links").isNull()
     return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("copy_id"))

@@ -5,12 +5,14 @@ query visits cells in the order of summed squared distances, drawn from a heap,
 wanted share of all vectors. That share is set on a bounded sample: the least for which the true neighbours
 of sampled queries are found with the wanted recall. All vectors of the visited cells are then scored exactly.
 
-The search runs in tiles: vectors by first centroid and queries, both in parts of a bounded size.
+The search runs in tiles: vectors by first centroid, and queries that stand near each other, both in parts of a
+bounded size. A part of the vectors is sent only to the parts of the queries that ask for its centroid.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, pa_schema
 
-#: Bounds: rows that centroids and the share are fitted on; centroids of a half; queries of the fit; rows and queries of a tile.
-SAMPLE, CENTROIDS, TRIALS, TILE, QUERIES = 20_000, 64, 300, 8_192, 2_048
+#: Bounds: rows that centroids and the share are fitted on; centroids of a half up to a million rows (beyond, they grow with the
+#: root of the rows, to a twentieth of the sample); queries of the fit; rows and queries of a tile; cells scored at once.
+SAMPLE, CENTROIDS, TRIALS, TILE, QUERIES, CELLS = 20_000, 64, 300, 16_384, 8_192, 4_000_000
 RECALL = 0.97
 
 
@@ -80,11 +83,11 @@ def visited(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: float) ->
     return out
 
 
-def fit(sample: np.ndarray, k: int, recall: float = RECALL, most: int = CENTROIDS, seed: int = 3) -> Index:
-    """Centroids from the sample, and the share of rows to visit at which sampled queries find their k neighbours with the wanted recall."""
+def fit(sample: np.ndarray, k: int, recall: float = RECALL, rows: int = 0, seed: int = 3) -> Index:
+    """Centroids from the sample, and the share of rows to visit at which sampled queries find their k neighbours with the wanted recall. rows: how many will be indexed."""
     unit = unit_rows(sample)
     h = unit.shape[1] // 2
-    c = max(1, min(most, int(len(unit) ** 0.5 / 2)))
+    c = max(1, min(CENTROIDS, int(len(unit) ** 0.5 / 2)), min(len(unit) // 20, int(rows**0.5 / 16)))
     index = Index(centroids(unit[:, :h], c, seed), centroids(unit[:, h:], c, seed + 1), 1.0, unit.shape[1])
     if len(unit) < 50:
         return index  # visit all
@@ -106,13 +109,38 @@ def fit(sample: np.ndarray, k: int, recall: float = RECALL, most: int = CENTROID
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, v (array of double) of the rows that take part; of rows with one id the least vector."""
-    v = F.col(vec_col).cast("array<double>")
+    """id, v of the rows that take part; of rows with one id the least vector. Floats stay floats, other numbers become doubles."""
+    kind = df.schema[vec_col].dataType.simpleString()
+    v = F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda x: x != 0))
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
+def nearest(v: np.ndarray, ids: np.ndarray, cell: np.ndarray, x: np.ndarray, queries: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, cosine) of each query's k nearest vectors in its wanted cells, its own left out."""
+    size, length = np.linalg.norm(v, axis=1), np.linalg.norm(x, axis=1)
+    out = []
+    step = max(1, CELLS // max(1, len(v)))
+    for a in range(0, len(x), step):
+        rough = x[a : a + step] @ v.T / size[None, :]
+        rough[~wanted[a : a + step][:, cell] | (ids[None, :] == queries[a : a + step, None])] = -np.inf
+        bar = np.full(len(rough), -np.inf) if len(v) <= k else np.partition(rough, len(v) - k, axis=1)[:, len(v) - k]
+        # all that may be among the k, then exactly
+        i, j = np.nonzero((rough >= (bar - 1e-9 * length[a : a + step])[:, None]) & np.isfinite(rough))
+        exact = (v[j] * x[a + i]).sum(axis=1) / (size[j] * length[a + i])
+        order = np.lexsort((ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((queries[a + i[top]], ids[j[top]], exact[top]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def search(df: DataFrame, id_col: str, vec_col: str, query_every: int, k: int, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by cosine for each row whose id is divisible by query_every.
 
@@ -125,79 +153,76 @@ def search(df: DataFrame, id_col: str, vec_col: str, query_every: int, k: int, r
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     rows = materialize(valid_vectors(df, id_col, vec_col), "index-vectors")
     dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if dims is None:
+    if dims is None or dims["n"] < 2:
         return spark.createDataFrame([], schema)
     dim, n = dims["d"], dims["n"]
+    kind = rows.schema["v"].dataType.simpleString()
     rows = rows.where(F.size("v") == dim)
     chosen = rows.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1_000_003)) <= min(1.0, sample / n) * 1_000_003)
-    index = fit(np.array([r["v"] for r in sorted(chosen.collect(), key=lambda r: r["id"])]).reshape(-1, dim) if n else np.zeros((0, dim)), k, recall) if n > 1 else None
-    if index is None:
-        return spark.createDataFrame([], schema)
+    index = fit(np.array([r["v"] for r in sorted(chosen.collect(), key=lambda r: r["id"])], dtype=np.float64).reshape(-1, dim), k, recall, n)
     width = len(index.second)
 
-    def assign():
-        def each(x):
-            v = np.array(x["v"], dtype=np.float64)
-            cell = index.cells(unit_rows(v))
-            return {"id": x["id"], "block": (cell // width).tolist(), "cell": (cell % width).tolist(), "v": v.tolist()}
-
-        return each
-
-    cells = materialize(map_arrow(rows, assign, "id bigint, block int, cell int, v array<double>"), "index-cells")
-    # at most CENTROIDS squared rows
-    counts = np.zeros(len(index.first) * width, dtype=np.int64)
-    for r in cells.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n")).collect():
+    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell = index.cells(unit_rows(matrix(b["v"], dim)))
+                yield pa.RecordBatch.from_arrays([b["id"], pa.array(cell // width, pa.int32()), pa.array(cell % width, pa.int32()), b["v"]], names=["id", "block", "cell", "v"])
+
+    cells = materialize(rows.mapInArrow(assign, f"id bigint, block int, cell int, v {kind}"), "index-cells")
+    # a row for each cell, of which there are at most as many as pairs of centroids
+    counts, asking = np.zeros(len(index.first) * width, dtype=np.int64), np.zeros(len(index.first), dtype=np.int64)
+    own = F.col("id") % query_every == 0
+    for r in cells.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("q")).collect():
         counts[r["block"] * width + r["cell"]] = r["n"]
+        asking[r["block"]] += r["q"]
     parts = [max(1, int(-(-c // TILE))) for c in counts.reshape(-1, width).sum(axis=1)]
-    queries = cells.where(F.col("id") % query_every == 0).select("id", "v")
-    q_parts = max(1, -(-queries.count() // QUERIES))
+    # queries of neighbouring blocks share a part, those of a large block have several
+    firsts, splits, held, part = [], [], 0, 0
+    for a in asking.tolist():
+        if held and held + a > QUERIES:
+            part, held = part + 1, 0
+        firsts.append(part)
+        splits.append(max(1, -(-a // QUERIES)))
+        held += a
+        if splits[-1] > 1:
+            part, held = part + splits[-1], 0
+    of = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
+    q = of(firsts, F.col("block")) + F.pmod(F.xxhash64("id"), of(splits, F.col("block"))).cast("int")
+    queries = cells.where(own).select("id", "v", q.alias("q"))
 
     def plan():
         def each(x):
             v = np.array(x["v"], dtype=np.float64)
             a, b = index.distances(unit_rows(v))
-            out: dict[str, list] = {c: [] for c in ("block", "part", "id", "cells", "v")}
+            out: dict[str, list] = {c: [] for c in ("block", "part", "q", "id", "cells", "v")}
             for t, key in enumerate(x["id"]):
                 by: dict[int, list[int]] = {}
                 for c in visited(a[t], b[t], counts, index.share * n + k):
                     by.setdefault(c // width, []).append(c % width)
                 for block, inner in by.items():
                     for p in range(parts[block]):
-                        for c, value in zip(out, (block, p, key, inner, x["v"][t]), strict=True):
+                        for c, value in zip(out, (block, p, x["q"][t], key, inner, x["v"][t]), strict=True):
                             out[c].append(value)
             return out
 
         return each
 
-    asked = map_arrow(queries, plan, "block int, part int, id bigint, cells array<int>, v array<double>").withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q_parts)).cast("int"))
-    of_block = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("block") + 1)
-    tiles = cells.withColumn("part", F.pmod(F.xxhash64("id"), of_block).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
+    asked = materialize(map_arrow(queries, plan, f"block int, part int, q int, id bigint, cells array<int>, v {kind}"), "index-asked")
+    keys = ["block", "part", "q"]
+    placed = cells.withColumn("part", F.pmod(F.xxhash64("id"), of(parts, F.col("block"))).cast("int"))
+    wants = asked.select(*[F.col(c).alias(f"a_{c}") for c in keys]).distinct()
+    tiles = placed.join(wants, (F.col("block") == F.col("a_block")) & (F.col("part") == F.col("a_part"))).select("block", "part", F.col("a_q").alias("q"), "id", "cell", "v")
     out = pa_schema(spark, "query_id bigint, vec_id bigint, score double")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        got: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            ids, inner = left["id"].to_numpy(), left["cell"].to_numpy()
-            v = np.array(left["v"].to_pylist())
-            size = np.linalg.norm(v, axis=1)
-            for t in range(right.num_rows):
-                query, x = right["id"][t].as_py(), np.array(right["v"][t].as_py())
-                wanted = np.zeros(width, dtype=bool)
-                wanted[right["cells"][t].as_py()] = True
-                at = np.flatnonzero(wanted[inner] & (ids != query))
-                if not len(at):
-                    continue
-                rough = v[at] @ x / size[at]
-                if len(at) > k:  # all that may be among the k, then exactly
-                    at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - 1e-9 * np.linalg.norm(x)]
-                exact = (v[at] * x).sum(axis=1) / (size[at] * np.linalg.norm(x))
-                for i in np.lexsort((ids[at], -exact))[:k]:
-                    got["query_id"].append(query)
-                    got["vec_id"].append(int(ids[at[i]]))
-                    got["score"].append(float(exact[i]))
-        return pa.table(got, schema=out)
-
-    keys = ("block", "part", "q")
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        wanted = np.zeros((right.num_rows, width), dtype=bool)
+        inner = right["cells"].combine_chunks()
+        wanted[np.repeat(np.arange(right.num_rows), inner.value_lengths().to_numpy()), inner.flatten().to_numpy()] = True
+        got = nearest(matrix(left["v"], dim), left["id"].to_numpy(), left["cell"].to_numpy(), matrix(right["v"], dim), right["id"].to_numpy(), wanted, k)
+        return pa.Table.from_arrays([pa.array(c) for c in got], schema=out)
+
     found = tiles.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(score, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,15 +1,18 @@
 """Quality rules: per-language, per-source robust outliers by the minimum covariance determinant.
 
 Only DataFrame functions. Texts are reduced to five counts, the counts to five transformed statistics.
-In each group the determinant's subset is sought by concentration steps from a deterministic start: the
-half of the rows nearest by the current mean and covariance gives the next ones. A step is one
-aggregation by group and distance bin, so it moves a few thousand small rows whatever the size of a
-group; the half is taken to the end of a bin, of which there are 32 for each doubling of the distance.
-Distances are scaled down where their median exceeds that of the chi-square distribution.
+In each group the half of the rows with the least determinant of its covariance is sought by concentration steps
+from three deterministic starts: the half of the rows nearest by the current mean and covariance gives the next ones.
+The start with the least determinant after two steps goes on until no step lessens it, and the rows that are
+near by this half give the final mean and covariance. A step is an aggregation by group and distance bin, 32 for
+each doubling of the distance, and one of the rows in the bin where the half ends, by 4,096 finer ones; so it moves a
+few thousand small rows whatever the size of a group. Distances are scaled down where their median exceeds that of the
+chi-square distribution.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,17 +20,17 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, materialize
 
-#: 0.5 and 1 - 1e-7 quantiles of the chi-square distribution with 5 degrees of freedom.
-CHI2_MEDIAN, CHI2_CUT = 4.351460, 40.863021
+#: 0.5, 0.975 and 1 - 1e-7 quantiles of the chi-square distribution with 5 degrees of freedom, and the factor that makes a covariance of the rows below the second consistent.
+CHI2_MEDIAN, CHI2_NEAR, CHI2_CUT, CONSISTENT = 4.351460, 12.832502, 40.863021, 1.055533
 NAMES = ("x1", "x2", "x3", "x4", "x5")
 P = len(NAMES)
 SYMBOLS = "#*$%&|<>"
-#: Least spread of each statistic: what a title, a repeated line or a few odd words make in an ordinary text. Most texts
+#: Floor of each statistic's spread: what a title, a repeated line or a few odd words make in an ordinary text. Most texts
 #: have no symbols or repeats at all, so the half nearest to the centre may have no spread there.
 SPREAD = (0.06, 0.06, 0.10, 0.15, 0.10)
 #: Groups up to which their fits are broadcast: some 21 numbers each, so at most about 10 MB. More are joined by shuffle.
 BROADCAST_GROUPS = 50_000
-#: Least rows of a group; smaller ones are judged by their language's rows, then by all rows.
+#: Least rows of a group that has an estimate of its own; smaller ones are judged by that of all rows of their language, or of all rows.
 LEAST = 50
 
 
@@ -91,8 +94,18 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def _moments() -> list[Column]:
-    return [F.sum("c").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(P)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in _pairs()]]
+COUNTS = ["c", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in _pairs()]]
+FIT = [*[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in _pairs()]]
+
+
+def _sums(x: Sequence[str] = NAMES, name: str = "") -> list[Column]:
+    """Count, sums and sums of products of five columns. As texts, since plans are made anew for each step."""
+    parts = ["count(1)", *[f"sum({x[i]})" for i in range(P)], *[f"sum({x[i]} * {x[j]})" for i, j in _pairs()]]
+    return [F.expr(f"{part} AS {name}{c}") for part, c in zip(parts, COUNTS, strict=True)]
+
+
+def _totals() -> list[Column]:
+    return [F.expr(f"sum({c}) AS {c}") for c in COUNTS]
 
 
 def _small(groups: DataFrame, few: bool) -> DataFrame:
@@ -100,46 +113,45 @@ def _small(groups: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(groups) if few else groups
 
 
-def _factor(groups: DataFrame) -> DataFrame:
-    """From sums: means m*, and the rows l** of the Cholesky factor of the covariance."""
-    n = F.greatest(F.col("n"), F.lit(1)).cast("double")
-    out = groups.withColumns({f"m{i}": F.col(f"s{i}") / n for i in range(P)})
-    out = out.withColumns({f"v{i}{j}": F.col(f"q{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(SPREAD[i] ** 2 if i == j else 0.0) for i, j in _pairs()})
-    for i, j in _pairs():
-        rest = F.col(f"v{i}{j}")
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(SPREAD[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("g", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in _pairs()])
+def _factor(groups: DataFrame, scale: float = 1.0) -> DataFrame:
+    """From sums: g, k, means m*, the rows l** of the Cholesky factor of the scaled covariance, no pivot below SPREAD, and the logarithm of its determinant's root."""
+    out = [f"s{i} / greatest(c, 1) AS m{i}" for i in range(P)]
+    for i, j in _pairs():  # a name may be used further on in the same list
+        rest = f"(q{i}{j} / greatest(c, 1) - m{i} * m{j}) * {scale!r}D" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        out.append(f"sqrt(greatest({rest}, {SPREAD[i] ** 2!r}D)) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return groups.selectExpr("g", "k", *out, " + ".join(f"ln(l{i}{i})" for i in range(P)) + " AS logdet")
 
 
-def _distance(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
-    """Adds d, the squared Mahalanobis distance; fit has one row for each group."""
-    out = rows.join(_small(fit, few), "g", "left")
-    for i in range(P):
-        rest = F.col(NAMES[i]) - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    total = reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)])
-    return out.withColumn("d", total).drop(*fit.drop("g").columns, *[f"y{i}" for i in range(P)])
+def _distance(rows: DataFrame, fit: DataFrame, few: bool, how: str = "left") -> DataFrame:
+    """Adds d, the squared Mahalanobis distance, and the columns of fit other than its numbers; fit has one row for each group, or several."""
+    kept = [f"`{c}`" for c in dict.fromkeys([*rows.columns, *fit.columns]) if c not in (*FIT, "logdet")]
+    y = [f"({NAMES[i]} - m{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i} AS y{i}" for i in range(P)]
+    return rows.join(_small(fit, few), "g", how).selectExpr(*kept, *y, " + ".join(f"y{i} * y{i}" for i in range(P)) + " AS d").drop(*[f"y{i}" for i in range(P)])
 
 
-def _bin(d: Column) -> Column:
-    return F.floor(32 * F.log2(d + F.lit(1e-3))).cast("int")
+def _place(d: Column) -> Column:
+    """A distance on the scale of bins."""
+    return 32 * F.log2(d + F.lit(1e-3))
 
 
-def _binned(rows: DataFrame, bins: Column) -> DataFrame:
-    sums = [F.count(F.lit(1)).alias("c"), *[F.sum(NAMES[i]).alias(f"s{i}") for i in range(P)], *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}{j}") for i, j in _pairs()]]
-    # summed by group and bin before a group's bins meet: one task would else read a group's bins of every task
-    return rows.withColumn("b", bins).groupBy("g", "b").agg(*sums).repartition("g")
+def _bin(d: Column) -> Column:
+    return F.floor(_place(d)).cast("int")
 
 
-def _nearest_half(binned: DataFrame) -> DataFrame:
-    """Of each group the bins up to the one that completes the half (n + p + 1) / 2."""
-    w = Window.partitionBy("g").orderBy("b")
-    out = binned.withColumn("below", F.sum("c").over(w) - F.col("c")).withColumn("all", F.sum("c").over(Window.partitionBy("g")))
-    return out.where(F.col("below") < F.floor((F.col("all") + P + 1) / 2)).drop("below", "all")
+def _step(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
+    """A concentration step of each fit (g, k): mean and factor of the (n + p + 1) / 2 rows nearest by it, to the end of a fine bin."""
+    by = ["g", "k"]
+    near = _distance(rows, fit, few, "inner").withColumn("b", _bin(F.col("d")))
+    w = Window.partitionBy(*by).orderBy("b")
+    # summed by group and bin before a group's bins meet: one task would else read a group's bins of every task
+    bins = near.groupBy(*by, "b").agg(*_sums()).repartition(*by)
+    bins = bins.withColumn("below", F.sum("c").over(w) - F.col("c")).withColumn("half", F.floor((F.sum("c").over(Window.partitionBy(*by)) + P + 1) / 2))
+    edge = bins.where("below < half and below + c > half").select(*by, F.col("b").alias("edge"), (F.col("half") - F.col("below")).alias("need"))
+    fine = F.least(F.floor((_place(F.col("d")) - F.col("b")) * 4096), F.lit(4095)).cast("int").alias("f")
+    parts = near.join(_small(edge, few), by).where("b = edge").groupBy(*by, "need", fine).agg(*_sums()).repartition(*by)
+    parts = parts.withColumn("below", F.sum("c").over(Window.partitionBy(*by).orderBy("f")) - F.col("c")).where("below < need")
+    whole = bins.where("below + c <= half").select(*by, *COUNTS).union(parts.select(*by, *COUNTS))
+    return _factor(whole.groupBy(*by).agg(*_totals()))
 
 
 def _medians(rows: DataFrame, values: dict[str, Column], name: str) -> DataFrame:
@@ -152,36 +164,68 @@ def _medians(rows: DataFrame, values: dict[str, Column], name: str) -> DataFrame
     return tops.groupBy("g").agg(*[F.max(F.when(F.col("x") == x, F.col("m"))).alias(f"{name}_{x}") for x in values])
 
 
-def fit_mcd(rows: DataFrame, few: bool, steps: int = 4) -> DataFrame:
-    """One row for each group g of rows (g, x1..x5): means, Cholesky factor and the median distance `middle`.
-
-    The start is the nearest half by the distance from each group's median, in units of its median deviation.
-    few: whether there are at most BROADCAST_GROUPS groups.
-    """
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """Three first fits of each group: its medians with the median deviations; mean and covariance of all rows; and those of the rows drawn in to two deviations from the median."""
     med = materialize(_medians(rows, {x: F.col(x) for x in NAMES}, "c"), "mcd-start")
     dev = _medians(rows.join(_small(med, few), "g"), {x: F.abs(F.col(x) - F.col(f"c_{x}")) for x in NAMES}, "a")
     centre = materialize(med.join(dev, "g"), "mcd-start")
-    z = reduce(lambda a, b: a + b, [F.pow((F.col(x) - F.col(f"c_{x}")) / (F.col(f"a_{x}") * 1.4826 + least), F.lit(2.0)) for x, least in zip(NAMES, SPREAD, strict=True)])
-    fit = materialize(_factor(_nearest_half(_binned(rows.join(_small(centre, few), "g"), _bin(z))).groupBy("g").agg(*_moments())), "mcd-fit")
-    for _ in range(steps):
-        near = _nearest_half(_binned(_distance(rows, fit, few), _bin(F.col("d"))))
-        fit = materialize(_factor(near.groupBy("g").agg(*_moments())), "mcd-fit")
+    wide = {i: F.greatest(F.col(f"a_{x}") * 1.4826, F.lit(SPREAD[i])) for i, x in enumerate(NAMES)}
+    drawn = [F.greatest(F.least(F.col(x), F.col(f"c_{x}") + 2 * wide[i]), F.col(f"c_{x}") - 2 * wide[i]).alias(f"w{i}") for i, x in enumerate(NAMES)]
+    both = rows.join(_small(centre, few), "g").select("g", *NAMES, *drawn)
+    sums = materialize(both.groupBy("g").agg(*_sums(), *_sums([f"w{i}" for i in range(P)], "d")), "mcd-start")
+    flat = centre.select("g", F.lit(0).alias("k"), *[F.col(f"c_{x}").alias(f"m{i}") for i, x in enumerate(NAMES)], *[(wide[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _pairs()], F.lit(0.0).alias("logdet"))
+    names = [c[1:] for c in sums.columns if c[0] == "d"]
+    whole = _factor(sums.select("g", F.lit(1).alias("k"), *names))
+    inner = _factor(sums.select("g", F.lit(2).alias("k"), *[F.col(f"d{c}").alias(c) for c in names]))
+    return flat.unionByName(whole).unionByName(inner)
+
+
+def _middle(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
+    """Adds each group's median distance `middle` and number of `rows` to fit."""
     w = Window.partitionBy("g").orderBy("b")
-    counts = _distance(rows, fit, few).groupBy("g", _bin(F.col("d")).alias("b")).agg(F.count(F.lit(1)).alias("c")).repartition("g")
+    counts = _distance(rows, fit, few, "inner").groupBy("g", _bin(F.col("d")).alias("b")).agg(F.count(F.lit(1)).alias("c")).repartition("g")
     counts = counts.withColumn("below", F.sum("c").over(w) - F.col("c")).withColumn("all", F.sum("c").over(Window.partitionBy("g")))
     middle = counts.where(F.col("below") < F.col("all") / 2).groupBy("g").agg((F.pow(F.lit(2.0), (F.max("b") + 1) / 32) - 1e-3).alias("middle"), F.max("all").alias("rows"))
     return materialize(fit.join(middle, "g"), "mcd-fit")
 
 
+def least_determinant(rows: DataFrame, few: bool) -> DataFrame:
+    """g, means, factor and logdet of the half found: from the best start, until no step lessens the determinant."""
+    fits = materialize(_starts(rows, few), "mcd-fit")
+    for _ in range(2):
+        fits = materialize(_step(rows, fits, few), "mcd-fit")
+    best = fits.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("logdet", "k"))).where("r = 1").drop("r")
+    best = materialize(_step(rows, best, few), "mcd-fit")
+    done, going = None, best
+    while True:  # each round lessens the determinant of the groups that go on, so it ends
+        new = _step(rows, going, few)
+        both = new.join(going.select("g", F.col("logdet").alias("was")), "g")
+        new = materialize(both.withColumn("less", F.col("logdet") < F.col("was") - 1e-9).drop("was"), "mcd-fit")
+        rest = going.join(new.where("not less").select("g"), "g", "left_semi")
+        done = rest if done is None else done.unionByName(rest)
+        going = new.where("less").drop("less")
+        if going.limit(1).count() == 0:
+            return done.drop("k")
+
+
+def fit_mcd(rows: DataFrame, few: bool) -> DataFrame:
+    """One row for each group g of rows (g, x1..x5): mean and Cholesky factor of the rows near by the least determinant's half, the median distance `middle`, the number of `rows`.
+
+    few: whether there are at most BROADCAST_GROUPS groups.
+    """
+    raw = _middle(rows, materialize(least_determinant(rows, few), "mcd-fit"), few)
+    near = _distance(rows, raw, few, "inner").where(F.col("d") * CHI2_MEDIAN <= CHI2_NEAR * F.col("middle"))
+    return _middle(rows, materialize(_factor(near.withColumn("k", F.lit(0)).groupBy("g", "k").agg(*_sums()), CONSISTENT).drop("k"), "mcd-fit"), few)
+
+
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CHI2_CUT, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     base_failed: under 50 words, or more than half of them in repeated three-word windows. The others are
-    grouped by language and source (nulls are a group of their own); a group of under LEAST rows joins its
-    language's small groups, and if these are still few, all such rows. kept is false if base_failed or if the
-    scaled squared distance is over cut, and true in a group that has under LEAST rows even then.
-    Null and empty texts have no words and fail. Repeated rows come out as often; an empty table gives no rows.
-    keep: further columns of df to carry along; other columns are not read.
+    grouped by language and source (nulls are a group of their own) and kept if the scaled squared distance from
+    their group's centre is at most cut. A group of under LEAST rows is judged by the estimate of all rows of its
+    language, or of all rows if these are as few. Null and empty texts have no words and fail. Repeated rows come out as
+    often; an empty table gives no rows. keep: further columns of df to carry along; other columns are not read.
     """
     kept_cols = {f"__k{i}": F.col(c) for i, c in enumerate(keep)}
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"), F.col(source_col).cast("string").alias("__source"), *[c.alias(k) for k, c in kept_cols.items()])
@@ -192,15 +236,23 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = passed.groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("n"))
     own = F.to_json(F.struct("__lang", "__source"), {"ignoreNullFields": "false"})
     lang = F.to_json(F.struct("__lang"), {"ignoreNullFields": "false"})
-    small = F.sum(F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)).over(Window.partitionBy("__lang"))
-    groups = sizes.withColumn("small", small).select(F.col("__lang").alias("gl"), F.col("__source").alias("gs"), F.when(F.col("n") >= LEAST, own).when(F.col("small") >= LEAST, lang).otherwise(F.lit("all")).alias("g"))
-    groups = materialize(groups, "quality-groups")  # a row for each pair of language and source
+    of_lang = F.sum("n").over(Window.partitionBy("__lang"))
+    groups = sizes.withColumn("lang_rows", of_lang).withColumn("g", F.when(F.col("n") >= LEAST, own).when(F.col("lang_rows") >= LEAST, lang).otherwise(F.lit("all")))
+    asked = F.max((F.col("g") == lang).cast("int")).over(Window.partitionBy("__lang")) == 1
+    groups = materialize(groups.withColumn("lang_asked", asked), "quality-groups")  # a row for each pair of language and source
     few = groups.count() <= BROADCAST_GROUPS
-    grouped = stats.join(_small(groups, few), F.col("__lang").eqNullSafe(F.col("gl")) & F.col("__source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs").withColumns(statistics())
-    fit = fit_mcd(grouped.where(~F.col("base_failed")).select("g", *NAMES), few)
-    judged = _distance(grouped, fit.drop("middle", "rows"), few).join(_small(fit.select("g", "middle", F.col("rows").alias("group_rows")), few), "g", "left")
+    all_asked = groups.where("g = 'all'").limit(1).count() > 0
+    # a row counts for its own group, and for its language and all rows where small groups are judged by these
+    used = F.array_compact(F.array(F.when(F.col("n") >= LEAST, own), F.when(F.col("lang_asked"), lang), F.when(F.lit(all_asked), F.lit("all"))))
+    pairs = groups.select(F.col("__lang").alias("gl"), F.col("__source").alias("gs"), "g", used.alias("used"))
+    same = F.col("__lang").eqNullSafe(F.col("gl")) & F.col("__source").eqNullSafe(F.col("gs"))
+    measured = passed.join(_small(pairs, few), same).withColumns(statistics())
+    measured = materialize(measured.select(F.explode("used").alias("g"), *NAMES), "mcd-rows")
+    fit = fit_mcd(measured, few)
+    grouped = stats.join(_small(pairs.drop("used"), few), same, "left").drop("gl", "gs").withColumns(statistics())
+    judged = _distance(grouped, fit, few)
     distance = F.when(~F.col("base_failed"), F.col("d") * CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(CHI2_MEDIAN)))
-    kept = ~F.col("base_failed") & ((F.col("group_rows") < LEAST) | (F.col("distance") <= cut))
+    kept = ~F.col("base_failed") & (distance <= cut)
     return judged.withColumn("distance", distance).select(
         F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", F.coalesce(kept, F.lit(False)).alias("kept"), *[F.col(k).alias(c) for k, c in zip(kept_cols, keep, strict=True)]
     )
