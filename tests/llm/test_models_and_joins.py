@@ -34,6 +34,39 @@ def test_toxicity_learns_from_labels_and_holds_out(spark):
     assert 0.5 < np.median(model.accuracy) <= 1
 
 
+def plain_toxicity(text, model):
+    """The classifier's score, term by term and pattern by pattern."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    hits = {t for t in model.terms if any(w == t[:-1] if t.endswith("$") else w.startswith(t) and len(t) in toxicity.STEMS for w in words)}
+    counts = [len(re.findall(p, text or "")) for p in (r"[A-Z]{4,}[A-Z ,.]*!", r"[!?]{2,}", r"\w[*#@$]{2,}\w?", r"([^\W\d_])\1{3,}")]
+    dense = [float(bool(hits)), math.log1p(len(hits)), min(1.0, 20 * len(hits) / max(1, len(words))), *map(math.log1p, counts)]
+    n = len(model.terms)
+    z = sum(model.weight[model.terms[t]] for t in hits) + sum(w * x for w, x in zip(model.weight[n:], dense, strict=True)) + model.bias
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxicity_scores_equal_a_plain_sum(spark):
+    rows = [(i, with_insult(i) if i % 5 == 0 else prose(i, 80), "en", "a", 1) for i in range(200)] + odd_rows() + [(2000, "GLORKAN BLEMF!!! you d**n soooooo blemf", "en", "a", 1)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)] + [(7, 1, None), (8, None, 1), (8, 1, 0), (None, 1, 1), (5000, 1, 1)], "doc_id long, quality int, toxic int")
+    clash = docs(spark, rows).withColumns({"score": F.lit(9.0), "id": F.lit("x")})
+    model = toxicity.learn(clash, labels)
+    got = sorted((r.doc_id or -1, round(r.score, 9)) for r in toxicity.score(clash, model, "doc_id", "text").collect())
+    assert got == sorted((i or -1, round(plain_toxicity(t, model), 9)) for i, t, *_ in rows)
+    assert toxicity.score(docs(spark, []), model, "doc_id", "text").count() == 0
+    assert not toxicity.learn(docs(spark, []), labels).terms
+
+
+def test_label_model_sees_through_copies_of_a_voter():
+    rng = np.random.default_rng(8)
+    y = rng.random(5000) < 0.3
+    noisy = lambda right: np.where(np.where(rng.random(5000) < right, y, ~y), 1, -1)
+    bad = noisy(0.62)
+    votes = np.stack([*[noisy(0.8) for _ in range(4)], *[np.where(rng.random(5000) < 0.97, bad, -bad) for _ in range(6)]], axis=1)
+    post, accuracy, correlation = toxicity.label_model(votes, 0.3)
+    assert ((post > 0.5) == y).mean() > 0.85 > ((votes.sum(axis=1) > 0) == y).mean()  # six copies outvote four good voters otherwise
+    assert accuracy[:4].min() > accuracy[4:].max() and correlation[4, 5] > 0.8 > correlation[0, 1]
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.learn(docs(spark, odd_rows()), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     got = toxicity.score(docs(spark, odd_rows()), model, "doc_id", "text")

@@ -26,7 +26,7 @@ MINIMA, SAMPLED, RECALL = 64, 2, 0.999
 #: A bucket up to SMALL is compared at once; one up to LARGE is split within a task; a larger one is split by Spark, DEPTH times.
 SMALL, LARGE, DEPTH = 32, 2_048, 3
 #: Nodes, and shingles, of a block in the exact comparison; cells of a matrix that it holds at once.
-BLOCK, BLOCK_SHINGLES, CELLS = 2_048, 4_000_000, 8_000_000
+BLOCK, BLOCK_SHINGLES, CELLS = 1_024, 4_000_000, 8_000_000
 #: Agreement of two signatures from which their nodes may belong together: the threshold less four and a half standard deviations.
 LIKELY = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / MINIMA) ** 0.5
 
