@@ -12,9 +12,14 @@ from tonemark.functions import terms as T
 def accumulated(parts: DataFrame, batches: DataFrame) -> DataFrame:
     """query_id, batch, fid, ac, bin: each recording's score and latest bin after each batch. parts: what batches add (score, bin)."""
     grid = batches.select("query_id", "batch").distinct()
-    seen = parts.select("query_id", F.col("batch").alias("b0"), "fid", "score", "bin")
-    rows = grid.join(seen, "query_id").where(F.col("b0") <= F.col("batch"))
-    return rows.groupBy("query_id", "batch", "fid").agg(F.sum("score").cast("bigint").alias("ac"), F.max_by("bin", "b0").alias("bin"))
+    ends = grid.groupBy("query_id").agg(F.max("batch").alias("end"))
+    w = Window.partitionBy("query_id", "fid").orderBy("batch")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.select("query_id", "batch", "fid", "bin", F.sum("score").over(so_far).cast("bigint").alias("ac"), (F.lead("batch").over(w) - 1).alias("until"))
+    # a sum stands until the recording's next one
+    lasting = sums.join(ends, "query_id").withColumn("until", F.coalesce("until", F.greatest("batch", "end")))
+    rows = lasting.select("query_id", F.explode(F.sequence("batch", "until")).alias("batch"), "fid", "ac", "bin")
+    return rows.join(grid, ["query_id", "batch"], "left_semi")
 
 
 def final_top(acc: DataFrame, k: int = P.TOP_K) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonemark.functions import audio
+
 
 def outcomes(results: DataFrame, truth: DataFrame) -> DataFrame:
     """query_id, outcome. truth: query_id, fid; a null fid means that the query is in no recording.
@@ -30,3 +32,23 @@ def rate_histogram(counts: DataFrame) -> DataFrame:
     rows = counts.groupBy("n").agg(F.count(F.lit(1)).alias("freq"))
     all_ = Window.partitionBy(F.lit(1))
     return rows.select("n", "freq", F.round(F.col("freq") / F.sum("freq").over(all_), 6).alias("pdf"), F.round(F.col("freq") / F.max("freq").over(all_), 6).alias("bar"))
+
+
+def noisy(clips: DataFrame, noise: DataFrame, gain: float, noise_gain: float, seed: int = 1) -> DataFrame:
+    """Clips (query_id, fid, samples) mixed with a slice of the noise, and snr. noise: samples, in one row.
+
+    The slice starts at a hashed place; both are multiplied by their gains and clamped before they are mixed.
+    """
+    one = noise.limit(1).select(F.lit(0).alias("k"), F.col("samples").alias("noise"))
+    rows = clips.withColumn("k", F.col("query_id") * 0).join(F.broadcast(one), "k").drop("k")
+    room = F.greatest(F.size("noise") - F.size("samples"), F.lit(0)) + 1
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("bigint"), room)
+    rows = rows.withColumn("noise", F.slice("noise", (start + 1).cast("int"), F.size("samples")))
+    rows = rows.withColumns({"samples": audio.gain(F.col("samples"), gain), "noise": audio.gain(F.col("noise"), noise_gain)})
+    snr = audio.snr(audio.power(F.col("samples")), audio.power(F.col("noise")))
+    return rows.select("query_id", "fid", audio.mix(F.col("samples"), F.col("noise")).alias("samples"), snr.alias("snr"))
+
+
+def mean_snr(clips: DataFrame) -> DataFrame:
+    """clips, snr: the ratio over all clips."""
+    return clips.agg(F.count(F.lit(1)).alias("clips"), F.avg("snr").alias("snr"))

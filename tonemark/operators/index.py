@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tonemark import params as P
 from tonemark.functions import terms as T
+from tonemark.functions.codec import byte_counts
 
 
 def single_terms(qlf: DataFrame) -> DataFrame:
@@ -60,13 +67,59 @@ def invariants(qlf: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.create_map(*[x for k in bad for x in (F.lit(k), F.col(k))])).alias("rule", "violations"))
 
 
-def chunks(rows: DataFrame) -> DataFrame:
-    """term, fid, bytes, chunk: a list is cut at a posting where its chunk has CHUNK_BYTES; bytes are those of the variable-byte code."""
+def _sizes(x: np.ndarray) -> np.ndarray:
+    return byte_counts(np.asarray(x, dtype=np.int64).astype(np.uint64))
+
+
+def layout(rows: DataFrame, chunk_bytes: int = P.CHUNK_BYTES, block_bytes: int = P.BLOCK_BYTES) -> DataFrame:
+    """term, fid, tf, bytes, chunk, block of each posting: how lists are cut and stored.
+
+    A chunk ends with the posting at which its raw size, four bytes for each of 2 + 3 tf numbers, reaches chunk_bytes.
+    A chunk goes into the last block while that block's body, in the variable-byte code, is below block_bytes; else into a
+    new one, whose first recording number is coded from 0. bytes are a posting's in that code. Chunks count from 0, blocks from 1.
+
+    The cut depends on all postings before it, so it is a pass over a list in order; a task holds an Arrow batch and a list's state.
+    """
     w = Window.partitionBy("term", "fid").orderBy("lid")
-    size = lambda x: F.when(x < 128, 1).when(x < 16384, 2).when(x < 2097152, 3).otherwise(4)
+    size = lambda x: F.when(x < 128, 1).when(x < 16384, 2).when(x < 2097152, 3).when(x < 268435456, 4).otherwise(5)
     deltas = rows.withColumns({"dl": F.col("lid") - F.coalesce(F.lag("lid").over(w), F.lit(0)), "dt": F.col("t") - F.coalesce(F.lag("t").over(w), F.lit(0))})
-    body = deltas.groupBy("term", "fid").agg(F.sum(size(F.col("dl")) + size(F.col("dt")) + size(F.col("e"))).alias("body"), F.count(F.lit(1)).alias("tf"))
-    by = Window.partitionBy("term").orderBy("fid")
-    body = body.withColumn("df", F.col("fid") - F.coalesce(F.lag("fid").over(by), F.lit(0))).withColumn("bytes", F.col("body") + size(F.col("df")) + size(F.col("tf")))
-    before = F.coalesce(F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return body.select("term", "fid", "tf", "bytes", F.floor(before / P.CHUNK_BYTES).cast("int").alias("chunk"))
+    body = deltas.groupBy("term", "fid").agg(F.count(F.lit(1)).alias("tf"), F.sum(size(F.col("dl")) + size(F.col("dt")) + size(F.col("e"))).alias("body"))
+    body = body.withColumn("body", F.col("body") + size(F.col("tf")))
+    schema = "term int, fid int, tf bigint, bytes bigint, chunk int, block int"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunk, block, raw, stored, last = None, 0, 0, 0, 0, 0  # of the list at hand
+        for b in batches:
+            term, fid, tf, rest = (b[c].to_numpy() for c in ("term", "fid", "tf", "body"))
+            got = np.zeros((3, len(term)), dtype=np.int64)  # bytes, chunk, block
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1, [len(term)]])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                if term[lo] != now:
+                    now, chunk, block, raw, stored, last = term[lo], 0, 0, 0, 0, 0
+                sums = np.cumsum(4 * (2 + 3 * tf[lo:hi]))
+                at, before = lo, 0
+                while at < hi:
+                    if raw == 0 and (block == 0 or stored >= block_bytes):
+                        block, stored, last = block + 1, 0, 0
+                    # the posting that fills the chunk, or the end of the batch
+                    end = min(hi, lo + int(np.searchsorted(sums, chunk_bytes - raw + before)) + 1)
+                    got[0, at:end] = rest[at:end] + _sizes(np.diff(fid[at:end], prepend=last))
+                    got[1, at:end], got[2, at:end] = chunk, block
+                    stored, last = stored + int(got[0, at:end].sum()), int(fid[end - 1])
+                    raw += int(sums[end - 1 - lo]) - before
+                    before = int(sums[end - 1 - lo])
+                    at = end
+                    if raw >= chunk_bytes:
+                        chunk, raw = chunk + 1, 0
+            yield pa.RecordBatch.from_arrays([b["term"], b["fid"], b["tf"], pa.array(got[0]), pa.array(got[1], pa.int32()), pa.array(got[2], pa.int32())], schema=out)
+
+    return body.select("term", "fid", "tf", "body").repartition("term").sortWithinPartitions("term", "fid").mapInArrow(run, schema)
+
+
+def block_headers(placed: DataFrame) -> DataFrame:
+    """term, block, body_size, fid_max, block_count of a layout: the header of each block, and of its list."""
+    rows = placed.groupBy("term", "block").agg(F.sum("bytes").cast("bigint").alias("body_size"), F.max("fid").alias("fid_max"))
+    return rows.withColumn("block_count", F.max("block").over(Window.partitionBy("term")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemark import params as P
@@ -65,13 +65,16 @@ def quantize_udf(codebook: np.ndarray):
     return quantize
 
 
-def bit_majority(points: DataFrame, by: str) -> DataFrame:
-    """by, centroid: the word of the bits that most of a group's points have; a tie gives 0. points: by, bits (array of 0 and 1)."""
-    rows = points.select(by, F.posexplode("bits").alias("i", "b")).groupBy(by, "i").agg(F.sum("b").alias("ones"), F.count(F.lit(1)).alias("n"))
-    most = rows.select(by, "i", (2 * F.col("ones") > F.col("n")).cast("bigint").alias("bit"))
-    # the first component is the highest bit; the words are sums, as each bit is set once
-    width = F.max("i").over(Window.partitionBy(by))
-    return most.withColumn("s", (width - F.col("i")).cast("int")).groupBy(by).agg(F.bit_or(F.expr("shiftleft(bit, s)")).alias("centroid"))
+def bit_majority(points: DataFrame, by: str, width: int = 64) -> DataFrame:
+    """by, centroid: the word of the bits that most of a group's points have; a tie gives 0. points: by, bits (array of 0 and 1).
+
+    The bits are counted as columns of one aggregation; no row is multiplied. The first component is the highest bit.
+    """
+    counts = points.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("bits", F.lit(i))).alias(f"b{i}") for i in range(width)])
+    word = F.lit(0).cast("bigint")
+    for i in range(width):
+        word = F.shiftleft(word, 1).bitwiseOR((2 * F.coalesce(F.col(f"b{i}"), F.lit(0)) > F.col("n")).cast("bigint"))
+    return counts.select(by, word.alias("centroid"))
 
 
 def duplicate_codewords(codebook: DataFrame) -> DataFrame:
@@ -79,21 +82,38 @@ def duplicate_codewords(codebook: DataFrame) -> DataFrame:
     return codebook.groupBy("centroid").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
-def kmedians(points: DataFrame, k: int, rounds: int = 32, tolerance: float = 0.01, seed: int = 1) -> DataFrame:
-    """code, centroid, sum_d, n_points: binary k-medians of points (point, word, bits), seeded by distance, until at most the tolerated share changes.
+def least_distances(points: DataFrame, chosen: list[int], bits: int = 64) -> DataFrame:
+    """Adds d: the distance of each point (word) from the nearest of the chosen words, by which the next one is drawn."""
+    return points.withColumn("d", F.least(*[hamming(F.col("word"), F.lit(c).cast("bigint")) for c in chosen], F.lit(bits)))
+
+
+def seeds(points: DataFrame, k: int, how: str = "distance", seed: int = 1, sample: int = 20_000) -> list[int]:
+    """k words to start from. random: those of the points that come first by a hash. distance: from a bounded sample of the
+    points, each next one with a chance in proportion to its distance from the nearest chosen one."""
+    order = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("point").cast("string")))
+    if how == "random":
+        return [r["word"] for r in points.select("word", order.alias("h"), "point").orderBy("h", "point").limit(k).collect()]
+    words = np.array([r["word"] for r in points.select("word", order.alias("h"), "point").orderBy("h", "point").limit(sample).collect()], dtype=np.int64).view(np.uint64)
+    if not len(words):
+        return []
+    rng = np.random.default_rng(seed)
+    chosen = [words[0]]
+    near = np.bitwise_count(words ^ chosen[0]).astype(float)
+    while len(chosen) < k and near.sum() > 0:
+        chosen.append(words[int(rng.choice(len(words), p=near / near.sum()))])
+        near = np.minimum(near, np.bitwise_count(words ^ chosen[-1]))
+    return [int(c) for c in np.array(chosen, dtype=np.uint64).view(np.int64)]
+
+
+def kmedians(points: DataFrame, k: int, rounds: int = 32, tolerance: float = 0.01, seed: int = 1, seeding: str = "distance") -> DataFrame:
+    """code, centroid, sum_d, n_points: binary k-medians of points (point, word, bits), until at most the tolerated share changes.
 
     Only the k centroids are on the driver; an assignment is one expression over them, a new centroid a sum for each bit.
+    sum_d and n_points are those of the last assignment.
     """
     spark = points.sparkSession
     points = materialize(points.select("point", "word", "bits"), "kmedians-points")
-    chosen = [points.orderBy(F.xxhash64(F.lit(seed), "point")).first()["word"]]
-    while len(chosen) < k:  # with a chance in proportion to the distance from the nearest chosen one: the least of exponential variates
-        d = F.least(*[hamming(F.col("word"), F.lit(c)) for c in chosen], F.lit(64))
-        u = (F.pmod(F.xxhash64(F.lit(seed + len(chosen)), "point"), F.lit(1_000_003)) + 1) / 1_000_004
-        row = points.withColumn("d", d).where("d > 0").orderBy(-F.log(u) / F.col("d"), "point").first()
-        if row is None:
-            break
-        chosen.append(row["word"])
+    chosen = seeds(points, k, seeding, seed)
     before = None
     for _ in range(rounds):
         near = points.withColumn("x", nearest(F.col("word"), list(enumerate(map(int, chosen))), largest=False))

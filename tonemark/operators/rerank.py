@@ -73,16 +73,23 @@ def common_edges(pairs: DataFrame, batches: DataFrame, queries: DataFrame, recor
     An edge's ends are common members, so only these are joined with each other: a few instead of all pairs of a
     neighbourhood. Of edges with equal keys the last one counts on either side.
     """
-    both = common_members(pairs, batches, queries, recordings)
-    members = both.groupBy(*PAIR).agg(F.collect_set(F.struct("o", F.col("q").alias("x"))).alias("qs"), F.collect_set(F.struct("o", F.col("r").alias("x"))).alias("rs")).where((F.size("qs") > 1) & (F.size("rs") > 1))
-
-    def edges(side: str) -> DataFrame:
-        # a neighbourhood has at most 31 members
-        one = members.select(*PAIR, side, F.explode(side).alias("i")).select(*PAIR, "i", F.explode(side).alias("j")).where(F.col("i.x.lid") < F.col("j.x.lid"))
-        last = F.max(F.struct(F.col("i.x.lid").alias("a"), F.col("j.x.lid").alias("b"), F.col("i.x").alias("i"), F.col("j.x").alias("j")))
-        return one.groupBy(*PAIR, F.col("i.o").alias("oi"), F.col("j.o").alias("oj")).agg(last.alias(side))
-
-    met = edges("qs").join(edges("rs"), [*PAIR, "oi", "oj"])
+    # dealt by query batch and recording once, for all that follows up to the recording's score
+    both = common_members(pairs, batches, queries, recordings).repartition(*KEYS, "fid")
+    side = lambda x: F.sort_array(F.collect_set(F.struct(f"{x}.lid", "o", f"{x}.t", f"{x}.w", f"{x}.e")))
+    members = both.groupBy(*PAIR).agg(side("q").alias("qs"), side("r").alias("rs")).where((F.size("qs") > 1) & (F.size("rs") > 1))
+
+    def edges(of: str) -> Column:
+        """Edges among the members of a side (at most 31), each from a smaller to a larger number."""
+        after = lambda x: F.filter(of, lambda y: y["lid"] > x["lid"])
+        return F.flatten(F.transform(of, lambda x: F.transform(after(x), lambda y: F.struct((x["o"].cast("bigint") * 65536 + y["o"]).alias("key"), x.alias("i"), y.alias("j")))))
+
+    def last(found: str) -> Column:
+        later = lambda e, g: (g["key"] == e["key"]) & ((g["i"]["lid"] > e["i"]["lid"]) | ((g["i"]["lid"] == e["i"]["lid"]) & (g["j"]["lid"] > e["j"]["lid"])))
+        return F.filter(found, lambda e: ~F.exists(found, lambda g: later(e, g)))
+
+    rows = members.select(*PAIR, edges("qs").alias("qe"), edges("rs").alias("re")).select(*PAIR, last("qe").alias("qe"), last("re").alias("re"))
+    met = F.flatten(F.transform("qe", lambda a: F.transform(F.filter("re", lambda b: b["key"] == a["key"]), lambda b: F.struct(a.alias("qs"), b.alias("rs")))))
+    met = rows.select(*PAIR, F.explode(met).alias("m")).select(*PAIR, "m.qs", "m.rs", F.col("m.qs.i.o").alias("oi"), F.col("m.qs.j.o").alias("oj"))
     same = lambda x: F.when(F.col(f"qs.{x}.w") == F.col(f"rs.{x}.w"), T.similarity(F.col(f"qs.{x}.e"), F.col(f"rs.{x}.e"))).otherwise(0)
     score = (1000 + same("i") + same("j")).cast("bigint")
     part = lambda o, k: F.floor(F.col(o) / 256) if k == 0 else F.col(o) % 256

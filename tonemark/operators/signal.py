@@ -21,10 +21,15 @@ def hamming_window(n: int = P.WINDOW) -> np.ndarray:
     return 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
 
 
-def energy_frames(frames: np.ndarray) -> np.ndarray:
+def exact_energy(frames: np.ndarray) -> np.ndarray:
     """Energy spectrum of each frame, zero-padded to FFT_SIZE; the first and last bin have a real part only."""
     z = np.fft.rfft(frames * hamming_window(frames.shape[1]), P.FFT_SIZE, axis=1)
-    return (z.real**2 + z.imag**2).astype(np.float32)
+    return z.real**2 + z.imag**2
+
+
+def energy_frames(frames: np.ndarray) -> np.ndarray:
+    """exact_energy in 32 bits, as the later steps take it."""
+    return exact_energy(frames).astype(np.float32)
 
 
 def spectrum(energy: np.ndarray, kind: str) -> np.ndarray:
@@ -98,14 +103,19 @@ class Fingerprinter:
     frames: int = 0
     count: int = 0
 
-    def process(self, samples: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-        """(lid, t, f, d) of a block; one of less than LEAST_BLOCK seconds is dropped and leaves the state alone."""
+    def process(self, samples: np.ndarray, flush: bool = False) -> list[tuple[int, int, int, bytes]]:
+        """(lid, t, f, d) of a block; one of less than LEAST_BLOCK seconds is dropped and leaves the state alone. flush: the last block, whose rest gives incomplete windows that end in zeros."""
         if len(samples) < P.LEAST_BLOCK * P.SAMPLE_RATE:
             return []
         data = np.concatenate([self.tail, samples.astype(np.float32)])
         n = max(0, (len(data) - P.WINDOW) // P.HOP + 1)
         self.tail = data[n * P.HOP :]
+        if flush and len(self.tail):
+            more = -(-len(self.tail) // P.HOP)
+            data = np.concatenate([data, np.zeros(P.WINDOW, dtype=np.float32)])[: (n + more - 1) * P.HOP + P.WINDOW]
+            n, self.tail = n + more, self.tail[:0]
         if n < 3:
+            self.frames += n
             return []
         x = energy_frames(np.lib.stride_tricks.sliding_window_view(data, P.WINDOW)[: (n - 1) * P.HOP + 1 : P.HOP])
         m, k = points_of_interest(find_peaks(x), x)
@@ -135,10 +145,18 @@ def fingerprints(blocks: DataFrame) -> DataFrame:
     return blocks.select("fid", "block_no", "samples").repartition("fid").sortWithinPartitions("fid", "block_no").mapInArrow(run, schema)
 
 
-def reblock(samples: DataFrame, seconds: float) -> DataFrame:
-    """Audio blocks of equal length from samples (fid, samples): block_no counts them. Longer recordings than allowed are left out."""
-    n = int(seconds * P.SAMPLE_RATE)
-    rows = samples.where(F.size("samples") < P.MAX_RECORDING * P.SAMPLE_RATE)
-    parts = F.greatest(F.ceil(F.size("samples") / n), F.lit(1)).cast("int")
+def too_long(samples: DataFrame, most: float = P.MAX_RECORDING, rate: int = P.SAMPLE_RATE) -> DataFrame:
+    """fid, seconds, error of the recordings that are refused: those of `most` seconds or more."""
+    seconds = F.size("samples") / rate
+    text = F.format_string("recording %d has %.1f seconds, %.0f or more are not allowed", "fid", seconds, F.lit(float(most)))
+    return samples.select("fid", seconds.alias("seconds"), text.alias("error")).where(F.col("seconds") >= most)
+
+
+def reblock(samples: DataFrame, seconds: float, most: float = P.MAX_RECORDING, rate: int = P.SAMPLE_RATE) -> DataFrame:
+    """Audio blocks of equal length from samples (fid, samples): block_no counts them. A recording of `most` seconds or more is an error, see too_long()."""
+    n = round(seconds * rate)
+    size = F.size("samples")
+    rows = samples.where(F.when(size < most * rate, True).otherwise(F.raise_error(F.format_string("recording %d is too long", "fid")).cast("boolean")))
+    parts = F.greatest(F.ceil(size / n), F.lit(1)).cast("int")
     out = rows.select("fid", "samples", F.posexplode(F.sequence(F.lit(0), parts - 1)).alias("block_no", "i"))
     return out.select("fid", "block_no", F.slice("samples", F.col("i") * n + 1, F.lit(n)).alias("samples"))

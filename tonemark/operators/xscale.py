@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from tonemark import params as P
 from tonemark.functions import terms as T
@@ -27,58 +22,31 @@ def hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
     return terms.join(postings, "term").select(*KEYS, "fid", T.time_bin(F.col("t")).alias("bin"), "k", "j", "lid", "t", "e", "eq")
 
 
-class Fold:
-    """Score of one bin of a recording. A fingerprint belongs to the first pivot that claims it; a pair scores once."""
+FOLD = "struct<owner:map<int,int>,score:bigint,ordered:int,t:int,k:int,j:int,lid:int>"
 
-    def __init__(self):
-        self.owner: dict[int, int] = {}
-        self.score = self.order = self.last_t = 0
-        self.pair, self.last, self.pivots = None, None, {}
 
-    def add(self, k: int, j: int, lid: int, t: int, e: int, eq: int) -> None:
-        if self.pair == (k, j):
-            return
-        if self.owner.setdefault(lid, k) != k:
-            return
-        self.pivots[lid] = k
-        step = t - self.last_t
-        ordered = step >= -2
-        self.order += ordered
-        self.score += P.MAX_SCORE * (P.BITS - abs(eq - e)) // P.BITS + (P.MAX_SCORE * self.order // len(self.owner) if ordered else 0)
-        self.last_t, self.pair, self.last = t, (k, j), (k, j, lid)
+def _add(now: Column, x: Column) -> Column:
+    """One more pair of a bin, in order. A fingerprint belongs to the first pivot that claims it; a pair scores once."""
+    owner = F.element_at(now["owner"], x["lid"])
+    takes = ~((now["k"] == x["k"]) & (now["j"] == x["j"])) & F.coalesce(owner == x["k"], F.lit(True))
+    held = F.when(owner.isNull(), F.map_concat(now["owner"], F.create_map(x["lid"], x["k"]))).otherwise(now["owner"])
+    in_order = x["t"] - now["t"] >= -2
+    ordered = now["ordered"] + in_order.cast("int")
+    n = F.size(now["owner"]) + owner.isNull().cast("int")
+    score = now["score"] + T.similarity(x["eq"], x["e"]) + F.when(in_order, F.floor(P.MAX_SCORE * ordered / n)).otherwise(0)
+    new = F.struct(held.alias("owner"), score.cast("bigint").alias("score"), ordered.alias("ordered"), x["t"].alias("t"), x["k"].alias("k"), x["j"].alias("j"), x["lid"].alias("lid"))
+    return F.when(takes, new.cast(FOLD)).otherwise(now)
 
 
 def bin_scores(rows: DataFrame) -> DataFrame:
-    """query_id, batch, fid, bin, score, lk, lj, llid, owned: bins whose score may count. The fold holds one bin at a time."""
-    schema = "query_id int, batch int, fid int, bin int, score bigint, lk int, lj int, llid int, owned array<struct<lid:int,k:int>>"
-    out_schema = to_arrow_schema(StructType.fromDDL(schema))
-    names = ["query_id", "batch", "fid", "bin", "k", "j", "lid", "t", "e", "eq"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fold, out = None, Fold(), []
-
-        def close():
-            if key is not None and fold.last is not None:
-                out.append((*key, fold.score, *fold.last, [{"lid": a, "k": b} for a, b in sorted(fold.pivots.items())]))
-
-        def batch():
-            return pa.RecordBatch.from_pylist([dict(zip(out_schema.names, r, strict=True)) for r in out], schema=out_schema)
-
-        for b in batches:
-            x = b.to_pydict()
-            for row in zip(*(x[n] for n in names), strict=True):
-                if row[:4] != key:
-                    close()
-                    key, fold = row[:4], Fold()
-                fold.add(*row[4:])
-            if len(out) > 5000:
-                yield batch()
-                out.clear()
-        close()
-        if out:
-            yield batch()
-
-    return rows.repartition("query_id", "batch", "fid", "bin").sortWithinPartitions(*names[:7]).select(*names).mapInArrow(run, schema)
+    """query_id, batch, fid, bin, score, lk, lj, llid, owned: the score of each bin, a fold over its sorted pairs; a row holds one bin."""
+    by = [*KEYS, "fid", "bin"]
+    # dealt by query batch and recording, as what follows needs them
+    pairs = rows.repartition(*KEYS, "fid").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "j", "lid", "t", "e", "eq"))).alias("pairs"))
+    start = F.expr("named_struct('owner', map(), 'score', 0L, 'ordered', 0, 't', 0, 'k', -1, 'j', -1, 'lid', -1)").cast(FOLD)
+    done = pairs.select(*by, F.aggregate("pairs", start, _add).alias("x"))
+    owned = F.array_sort(F.transform(F.map_entries("x.owner"), lambda o: F.struct(o["key"].alias("lid"), o["value"].alias("k"))))
+    return done.select(*by, F.col("x.score").alias("score"), F.col("x.k").alias("lk"), F.col("x.j").alias("lj"), F.col("x.lid").alias("llid"), owned.alias("owned"))
 
 
 def search(batches: DataFrame, queries: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from tonemark import params as P
 from tonemark.functions import audio, codec
 from tonemark.functions import terms as T
 from tonemark.operators import decide, evaluate, index, match, quantize, rerank, signal, xscale
-from tonemark.plans import engine
+from tonemark.plans import engine, parts
 from tonemark.plans.scratch import materialize
 from tonemark.sources import fixtures, synthetic
 
@@ -24,16 +24,18 @@ class Stages:
     """Intermediate tables of identification over the fixtures, each planned when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
-        """keep: write the scored hits to a table, for queries that read them several times."""
+        """keep: write recordings, queries and scored hits to tables, for queries that read them several times."""
         self.spark, self.sf_dir, self.keep = spark, sf_dir, keep
 
     @cached_property
     def qlf(self) -> DataFrame:
-        return fixtures.corpus(self.spark, self.sf_dir)
+        rows = fixtures.corpus(self.spark, self.sf_dir)
+        return materialize(rows, "recordings") if self.keep else rows
 
     @cached_property
     def q(self) -> DataFrame:
-        return fixtures.query_fingerprints(self.spark, self.sf_dir)
+        rows = fixtures.query_fingerprints(self.spark, self.sf_dir)
+        return materialize(rows, "queries") if self.keep else rows
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -144,12 +146,6 @@ def _vbyte(s: Stages) -> DataFrame:
     return coded.select("fid", F.size("ts").alias("n"), F.length("code").alias("n_bytes"), (codec.decoded(F.col("code")) == F.col("ts")).alias("same"))
 
 
-def _merge(s: Stages) -> DataFrame:
-    """An index of two sessions, the second one's recordings newer, appended to one."""
-    live, delta = (s.postings.where(c) for c in (F.col("fid") % 1000 < 60, F.col("fid") % 1000 >= 60))
-    return live.unionByName(delta).groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct("fid").alias("df"), F.max("fid").alias("fid_max"))
-
-
 def _audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.table(spark, sf_dir, "embeddings")
     return rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("a")).withColumn("z", F.reverse("a"))
@@ -186,16 +182,6 @@ def _xscale(s: Stages, flush: bool = False) -> DataFrame:
     return engine.identify(s.q, index.build(s.qlf, "XSCALE"), s.qlf, engine.Config(match_type="XSCALE"), flush=flush)
 
 
-def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.table(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return rows.select("user_id", F.floor(F.unix_timestamp("w.start") / 3600).alias("hour"), "n", "total")
-
-
-def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return rows.select("user_id", "n", F.unix_timestamp("a").alias("start_s"), F.unix_timestamp("b").alias("last_s"))
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tonemark.streaming import monitor
 
@@ -230,21 +216,21 @@ QUERIES: dict[str, Query] = {
     "graph_edges": _s(lambda s: rerank.query_edges(s.pairs, s.batches, s.q).groupBy(*match.KEYS, "k").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("edge") % 1_000_003).alias("edge_sum")), keep=True),
     "graph_common": _s(lambda s: s.common, keep=True),
     "graph_rerank": _s(lambda s: rerank.rerank(s.common), keep=True),
-    "accumulate": _s(lambda s: s.acc),
-    "final_topk": _s(lambda s: decide.final_top(s.acc).drop("bin")),
-    "step_confidence": _s(lambda s: s.step_best.select("query_id", "block_no", "fid", "ac", F.round("conf", 6).alias("conf"))),
-    "running_confidence": _s(lambda s: decide.running(s.step_best, DUR).select("query_id", "block_no", "fid", F.round("mean_conf", 6).alias("mean_conf"), F.round("acc_time", 6).alias("acc_time"))),
+    "accumulate": _s(lambda s: s.acc, keep=True),
+    "final_topk": _s(lambda s: decide.final_top(s.acc).drop("bin"), keep=True),
+    "step_confidence": _s(lambda s: s.step_best.select("query_id", "block_no", "fid", "ac", F.round("conf", 6).alias("conf")), keep=True),
+    "running_confidence": _s(lambda s: decide.running(s.step_best, DUR).select("query_id", "block_no", "fid", F.round("mean_conf", 6).alias("mean_conf"), F.round("acc_time", 6).alias("acc_time")), keep=True),
     "fuzzy_easy": lambda spark, _: _grid(spark, "EASY"),
     "fuzzy_strict": lambda spark, _: _grid(spark, "STRICT"),
-    "fuzzy_identify": _s(lambda s: s.identified()),
+    "fuzzy_identify": _s(lambda s: s.identified(), keep=True),
     "fuzzy_identify_all": _s(lambda s: engine.identify(fixtures.all_query_fingerprints(s.spark, s.sf_dir), s.postings, s.qlf, engine.Config())),
-    "fuzzy_identify_flush": _s(lambda s: s.identified(flush=True)),
-    "binary_identify": _s(lambda s: s.identified(id_type="BINARY", binary_threshold=0.7)),
+    "fuzzy_identify_flush": _s(lambda s: s.identified(flush=True), keep=True),
+    "binary_identify": _s(lambda s: s.identified(id_type="BINARY", binary_threshold=0.7), keep=True),
     "cue_points": _s(lambda s: s.best.select(*match.KEYS, "fid", T.cue_point(F.col("bin")).alias("cue_point"))),
-    "results_with_metadata": _s(lambda s: engine.with_metadata(s.identified(), fixtures.metadata(s.spark, s.sf_dir)).select("query_id", "status", "fid", "meta")),
-    "results_json": _s(lambda s: engine.as_json(engine.with_metadata(s.identified(), fixtures.metadata(s.spark, s.sf_dir)))),
-    "xscale_match": _s(_xscale),
-    "xscale_bins": _s(lambda s: xscale.search(s.batches, s.q, index.build(s.qlf, "XSCALE"))[2]),
+    "results_with_metadata": _s(lambda s: engine.with_metadata(s.identified(), fixtures.metadata(s.spark, s.sf_dir)).select("query_id", "status", "fid", "meta"), keep=True),
+    "results_json": _s(lambda s: engine.as_json(engine.with_metadata(s.identified(), fixtures.metadata(s.spark, s.sf_dir))), keep=True),
+    "xscale_match": _s(_xscale, keep=True),
+    "xscale_bins": _s(lambda s: xscale.search(s.batches, s.q, index.build(s.qlf, "XSCALE"))[2], keep=True),
     "hamming_matrix": _hamming_matrix,
     "quantize": lambda spark, d: quantize.nearest_word(fixtures.descriptors(spark, d).select("point", "word"), _majority(spark, d), 64).select("point", "code", "dist"),
     "bit_majority": lambda spark, d: _majority(spark, d).select(F.col("code").alias("label"), _bits(F.col("centroid")).alias("bits")),
@@ -253,14 +239,12 @@ QUERIES: dict[str, Query] = {
     "delta_encode": _s(lambda s: _delta(s.qlf)),
     "delta_decode": _s(lambda s: _undelta(s.qlf)),
     "vbyte_roundtrip": _s(_vbyte),
-    "block_layout": _s(lambda s: index.chunks(s.postings)),
     "index_invariants": _s(lambda s: index.invariants(s.qlf)),
     "fid_monotonic": _s(lambda s: s.qlf.groupBy("fid").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("first_lid"), F.max("lid").alias("last_lid")).withColumn("good", (F.col("n") == F.col("last_lid") + 1) & (F.col("first_lid") == 0))),
-    "delta_merge": _s(_merge),
     "ranged_fingerprint": _s(lambda s: s.qlf.where((F.col("fid") == 7) & F.col("lid").between(50, 80))),
-    "eval_metrics": _s(lambda s: evaluate.metrics(evaluate.outcomes(s.identified(), s.truth))),
-    "eval_semi": _s(lambda s: s.identified().where("fid is not null").select("query_id", "fid").join(s.truth, ["query_id", "fid"], "left_semi")),
-    "eval_anti": _s(lambda s: s.identified().where("fid is not null").select("query_id", "fid").join(s.truth, ["query_id", "fid"], "left_anti")),
+    "eval_metrics": _s(lambda s: evaluate.metrics(evaluate.outcomes(s.identified(), s.truth)), keep=True),
+    "eval_semi": _s(lambda s: s.identified().where("fid is not null").select("query_id", "fid").join(s.truth, ["query_id", "fid"], "left_semi"), keep=True),
+    "eval_anti": _s(lambda s: s.identified().where("fid is not null").select("query_id", "fid").join(s.truth, ["query_id", "fid"], "left_anti"), keep=True),
     "lf_rate_hist": _s(lambda s: evaluate.rate_histogram(s.qlf.groupBy("fid", F.floor(F.col("t") / 73).alias("s")).agg(F.count(F.lit(1)).alias("n")))),
     "mix_gain_power": _mix_gain_power,
     "snr": _snr,
@@ -270,6 +254,5 @@ QUERIES: dict[str, Query] = {
     "stft_fingerprint": _stft,
     "synthetic_corpus": lambda spark, _: synthetic.recordings(spark, 20),
     "stream_identify": _stream,
-    "stream_tumbling": _tumbling,
-    "session_windows": _sessions,
+    **parts.QUERIES,
 }

@@ -85,8 +85,10 @@ def identify(queries: DataFrame, postings: DataFrame, recordings: DataFrame, con
 
     queries: query_id, block_no, lid, t, f, w, e. postings: term, fid, lid, t, e of the configured match type. recordings:
     fid, lid, t, f, w, e. With flush a query that would end without a match has its incomplete last batch tried first.
+    Raises InvalidMatchSequence if fingerprints of a query are not numbered 0, 1, 2, ...
     """
     config = config or Config()
+    check_sequence(queries)
     batches = materialize(match.full_batches(queries), "batches")
     parts = materialize(contributions(batches, queries, postings, recordings, config), "parts")
     dur = config.step_seconds

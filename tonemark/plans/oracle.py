@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from tonemark.plans import parts_sql
+
 #: Common table expressions in order of dependence; a query gets those that it and its parts name.
 CTES: dict[str, str] = {
     "qlf": """SELECT CAST(l_suppkey + 1 AS INTEGER) AS fid, CAST(lid AS INTEGER) AS lid, CAST(4 * lid + l_linenumber % 3 AS INTEGER) AS t,
@@ -10,9 +14,9 @@ CTES: dict[str, str] = {
     "q": """SELECT query_id, CAST(t // 130 AS INTEGER) AS block_no, lid, t, f, w, e FROM (
         SELECT fid AS query_id, lid - 100 AS lid, t - 400 AS t, f, CASE WHEN (lid - 100) % 5 = 0 THEN (w + 1) % 100 ELSE w END AS w, e FROM qlf WHERE fid % 10 = 0 AND lid BETWEEN 100 AND 219
         UNION ALL
-        SELECT CAST(1000000 + o_custkey % 20 AS INTEGER), CAST(lid AS INTEGER), CAST(4 * lid + o_orderkey % 3 AS INTEGER), CAST(36 + (o_orderkey * 53 + o_custkey * 7) % 521 AS INTEGER),
+        SELECT CAST(1000000 + o_custkey // 400 AS INTEGER), CAST(lid AS INTEGER), CAST(4 * lid + o_orderkey % 3 AS INTEGER), CAST(36 + (o_orderkey * 53 + o_custkey * 7) % 521 AS INTEGER),
         CAST((o_orderkey * 13 + o_custkey * 29) % 100 AS INTEGER), CAST(50 + o_custkey % 206 AS INTEGER)
-        FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1 AS lid FROM orders) WHERE lid < 400)""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey // 400 ORDER BY o_orderkey) - 1 AS lid FROM orders WHERE o_custkey % 10 = 0))""",
     "st": "SELECT CAST(w * 64 | ((f - 17) // 9) AS INTEGER) AS term, fid, lid, t, e FROM qlf",
     "bp": """SELECT CAST((a.w << 19) | ((a.f // 186) << 17) | (n.w << 10) | (CAST(trunc(CAST(CAST(n.t AS FLOAT) / CAST(5 AS FLOAT) AS FLOAT) - CAST(CAST(a.t AS FLOAT) / CAST(5 AS FLOAT) AS FLOAT)) AS INTEGER) << 6)
         | (CAST(trunc(CAST(CAST(n.f AS FLOAT) / CAST(9 AS FLOAT) AS FLOAT) - CAST(CAST(a.f AS FLOAT) / CAST(9 AS FLOAT) AS FLOAT)) AS INTEGER) & 63) AS INTEGER) AS term, a.fid, a.lid, a.t, a.e, n.lid AS lid2
@@ -110,7 +114,10 @@ CTES["outcomes"] = """SELECT t.query_id, CASE WHEN max(CASE WHEN r.fid = t.fid T
 CTES["delta"] = "SELECT fid, lid, t, lid - lag(lid, 1, 0) OVER w AS dlid, t - lag(t, 1, 0) OVER w AS dt FROM qlf WINDOW w AS (PARTITION BY fid ORDER BY lid)"
 CTES["audio"] = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(list_reverse(embedding), lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings"
 
+CTES.update(parts_sql.CTES)
+
 QUERIES: dict[str, str] = {
+    **parts_sql.QUERIES,
     "qlf_corpus": "SELECT * FROM qlf",
     "query_fingerprints": "SELECT * FROM q",
     "terms_single": "SELECT * FROM st",
@@ -143,6 +150,8 @@ QUERIES: dict[str, str] = {
     "binary_identify": results("bindecided"),
     "cue_points": "SELECT query_id, batch, fid, CAST(trunc((365 * bin + 182) * 0.0138776::DOUBLE) AS INTEGER) AS cue_point FROM best",
     "results_with_metadata": "SELECT r.query_id, r.status, r.fid, coalesce(s_name, '') AS meta FROM result r LEFT JOIN supplier ON s_suppkey + 1 = r.fid",
+    "results_json": """SELECT query_id, CAST(to_json({'status': max(status), 'Matches': coalesce(list({'FID': fid, 'Score': score, 'Confidence': confidence, 'IdClass': id_class, 'Metadata': meta} ORDER BY fid) FILTER (fid IS NOT NULL), [])}) AS VARCHAR) AS json
+        FROM (SELECT r.*, coalesce(s_name, '') AS meta FROM result r LEFT JOIN supplier ON s_suppkey + 1 = r.fid) GROUP BY query_id""",
     "hamming_matrix": "SELECT label AS a, b.l2 AS b, d AS dist FROM (SELECT m.label, n.label AS l2, CAST(sum(CASE WHEN m.bit <> n.bit THEN 1 ELSE 0 END) AS INTEGER) AS d FROM majority m JOIN majority n USING (i) GROUP BY m.label, n.label) b",
     "quantize": "SELECT point, CAST(code AS INTEGER) AS code, dist FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY dist, code DESC) AS r FROM distances) WHERE r = 1",
     "bit_majority": "SELECT label, string_agg(bit, '' ORDER BY i) AS bits FROM majority GROUP BY label",
@@ -177,8 +186,6 @@ QUERIES: dict[str, str] = {
 
 def sql(name: str) -> str:
     """A query with the expressions that it needs, in order."""
-    import re
-
     body = QUERIES[name]
     need: set[str] = set()
     todo = [body]

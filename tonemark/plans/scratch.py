@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
     return now.get().rstrip("/")
 
 
+#: Tables written within the open scopes.
+_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back, which cuts its lineage.
+
+    A lost executor then costs a read, not the whole history. The table stays until the folder is emptied, or
+    until the innermost scope() ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that materialize() wrote within it. Their readers must be done by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)

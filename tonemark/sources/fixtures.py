@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Frames of a step of identification (1.8 s), and rows of a query.
+#: Frames of a step of identification (1.8 s); the slice of a recording that is asked for; customers whose orders make a stream.
 STEP_FRAMES = 130
-FIRST, LAST, UNRELATED, STREAMS = 100, 219, 400, 20
+FIRST, LAST, STREAM = 100, 219, 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,32 +30,29 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, block_no, lid, t, f, w, e: distorted slices of every tenth recording, and the starts of streams from orders that match none. The SQL has the same subset."""
+    """query_id, block_no, lid, t, f, w, e of the query set: a distorted slice of each recording whose number is divisible by ten, and,
+    as queries that are in no recording, the streams of orders of each customer whose number is. Both grow with the tables."""
     own = corpus(spark, sf_dir).where((F.col("fid") % 10 == 0) & F.col("lid").between(FIRST, LAST))
     own = own.withColumn("lid", (F.col("lid") - FIRST).cast("int")).withColumn("t", (F.col("t") - 4 * FIRST).cast("int"))
-    return _queries(own, _streams(spark, sf_dir).where(F.col("lid") < UNRELATED))
+    return _queries(own, _streams(spark, sf_dir, 10))
 
 
 def all_query_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like query_fingerprints, for a slice of every recording and all rows of orders, cut into clips of UNRELATED rows.
-
-    A recording that ends before LAST gives its last rows, at most as many. The first clip of a stream has the stream's id.
-    """
+    """Like query_fingerprints, for a slice of every recording and the orders of all customers. A recording that ends before LAST gives its last rows, at most as many."""
     length = LAST - FIRST + 1
     rows = corpus(spark, sf_dir)
     ends = F.max("lid").over(Window.partitionBy("fid")) + 1
     own = rows.withColumn("start", F.greatest(F.lit(0), F.least(F.lit(FIRST), ends - length)))
     own = own.where(F.col("lid").between(F.col("start"), F.col("start") + length - 1))
     own = own.withColumn("lid", (F.col("lid") - F.col("start")).cast("int")).withColumn("t", (F.col("t") - 4 * F.col("start")).cast("int"))
-    other = _streams(spark, sf_dir).withColumn("query_id", F.col("query_id") + STREAMS * F.floor(F.col("lid") / UNRELATED).cast("int"))
-    return _queries(own, other.withColumn("lid", F.col("lid") % UNRELATED))
+    return _queries(own, _streams(spark, sf_dir, 1))
 
 
-def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    w = Window.partitionBy(F.col("o_custkey") % STREAMS).orderBy("o_orderkey")
-    rows = rows.withColumn("lid", (F.row_number().over(w) - 1).cast("int"))
-    return rows.withColumn("query_id", (1_000_000 + F.col("o_custkey") % STREAMS).cast("int"))
+def _streams(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    """Orders of the customers whose number is divisible by `every`: those of STREAM such customers are a stream."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").where(F.col("o_custkey") % every == 0)
+    rows = rows.withColumn("query_id", (1_000_000 + F.floor(F.col("o_custkey") / (STREAM * every))).cast("int"))
+    return rows.withColumn("lid", (F.row_number().over(Window.partitionBy("query_id").orderBy("o_orderkey")) - 1).cast("int"))
 
 
 def _queries(own: DataFrame, rows: DataFrame) -> DataFrame:

@@ -70,6 +70,11 @@ class FingerprintStore:
         """A term's list. Files are sorted by term, so that statistics skip most of them."""
         return index.postings(self.read("index").where(F.col("term") == term))
 
+    def block_headers(self, term: int | None = None) -> DataFrame:
+        """Headers of the blocks that the lists, or one, take in the block format: term, block, body_size, fid_max, block_count."""
+        rows = self.read("index")
+        return index.block_headers(index.layout(rows if term is None else rows.where(F.col("term") == term)))
+
     def fingerprint(self, fid: int, first: int = 0, count: int | None = None) -> DataFrame:
         """Fingerprints of a recording from `first`, to its end if count is None."""
         rows = self.read("fingerprints").where((F.col("fid") == fid) & (F.col("lid") >= first))
@@ -99,7 +104,7 @@ class FingerprintStore:
 
 
 class IndexSession:
-    """start(), then index() as often as wanted, then end(). Recordings come with growing numbers."""
+    """start(), then index() as often as wanted, then end(). Recordings come with growing numbers. duplicates: pairs that gave a fingerprint a term it had already."""
 
     def __init__(self, store: FingerprintStore, match_type: str = "MSCALE"):
         if match_type not in P.MATCH_TYPES:
@@ -131,6 +136,8 @@ class IndexSession:
         if first <= last:
             raise InvalidParameter(f"recording {first} is not newer than {last}")
         rows = index.build(qlf, self.match_type)
+        if self.match_type == "XSCALE":
+            self.duplicates += index.pair_terms(qlf).count() - rows.count()
         if keep:
             self.store.put_fingerprints(qlf)
         self.store.add_postings(rows)

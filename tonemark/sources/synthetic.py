@@ -41,7 +41,9 @@ def tones(spark: SparkSession, n: int, seconds: float = 12.0, seed: int = 1) ->
 
 
 def clips(recs: DataFrame, per: int, length: int, seed: int = 1) -> DataFrame:
-    """query_id, fid, samples: `per` seeded slices of `length` samples of each recording (fid, samples)."""
-    room = F.greatest(F.size("samples") - length, F.lit(0))
-    cut = recs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(per - 1)))).withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "fid", "c"), room + 1))
-    return cut.select((F.col("fid") * per + F.col("c")).alias("query_id"), "fid", F.slice("samples", (F.col("start") + 1).cast("int"), F.lit(length)).alias("samples"))
+    """query_id, fid, start, samples: `per` seeded slices of `length` samples of each recording (fid, samples), of the whole where it is shorter."""
+    room = F.greatest(F.size("samples") - length, F.lit(0)) + 1
+    cut = recs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("fid").cast("string"), F.col("c").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    cut = cut.withColumn("start", F.pmod(draw, room).cast("int"))
+    return cut.select((F.col("fid") * per + F.col("c")).cast("int").alias("query_id"), "fid", "start", F.slice("samples", F.col("start") + 1, F.lit(length)).alias("samples"))
