@@ -127,7 +127,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
     elif args.command == "monitor":
         store = FingerprintStore(spark, args.store)
         config = engine.Config(match_type=store.match_type() or "MSCALE")
-        chunks = live.quantised(live.fingerprints(live.chunk_files(spark, args.audio, args.files)), load_codebook(spark, args.codebook))
+        chunks = live.fingerprints(live.chunk_files(spark, args.audio, args.files), codebook=load_codebook(spark, args.codebook))
         target = monitor.Monitor(spark, store.read("index"), store.read("fingerprints"), args.out, config, idle=args.wait)
         stream = monitor.start(chunks, target, f"{args.out}/checkpoint", **({"availableNow": True} if args.once else {}))
         stream.awaitTermination()

@@ -48,18 +48,25 @@ def nearest_word(points: DataFrame, codebook: DataFrame, bits: int) -> DataFrame
     return near.select(*points.columns, F.col("x.c").alias("code"), F.least(F.col("x.d"), F.lit(min(P.MAX_ERROR, bits))).cast("int").alias("dist"))
 
 
+_COUNTS = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+
+
+def codes(x: np.ndarray, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest codeword of each descriptor and its distance, clipped; of equally near ones the largest. x, codebook: (n, BYTES) uint8; a table of 256 bit counts serves the distance."""
+    w, e = np.zeros(len(x), dtype=np.int32), np.zeros(len(x), dtype=np.int32)
+    for a in range(0, len(x), 256):
+        dist = _COUNTS[x[a : a + 256, None, :] ^ codebook[None]].sum(axis=2, dtype=np.int32)
+        best = dist.shape[1] - 1 - dist[:, ::-1].argmin(axis=1)
+        w[a : a + 256], e[a : a + 256] = best, np.minimum(dist[np.arange(len(dist)), best], P.MAX_ERROR)
+    return w, e
+
+
 def quantize_udf(codebook: np.ndarray):
-    """For whole descriptors: a pandas function from binary to struct<w int, e int>. codebook: (n, BYTES) uint8; a table of 256 bit counts serves the distance."""
-    counts = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+    """For whole descriptors: a pandas function from binary to struct<w int, e int>."""
 
     @F.pandas_udf("w int, e int")
     def quantize(d: pd.Series) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(d), dtype=np.uint8).reshape(len(d), -1)
-        w, e = np.zeros(len(x), dtype=np.int32), np.zeros(len(x), dtype=np.int32)
-        for a in range(0, len(x), 256):
-            dist = counts[x[a : a + 256, None, :] ^ codebook[None]].sum(axis=2, dtype=np.int32)
-            best = dist.shape[1] - 1 - dist[:, ::-1].argmin(axis=1)
-            w[a : a + 256], e[a : a + 256] = best, np.minimum(dist[np.arange(len(dist)), best], P.MAX_ERROR)
+        w, e = codes(np.frombuffer(b"".join(d), dtype=np.uint8).reshape(len(d), -1), codebook)
         return pd.DataFrame({"w": w, "e": e})
 
     return quantize

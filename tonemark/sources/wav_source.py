@@ -54,10 +54,10 @@ class StreamReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict):
         found = [p for p in listed(self.folder) if p > start["last"]][: self.per]
-        return rows(found, self.rate), {"last": found[-1] if found else start["last"]}
+        return iter(list(rows(found, self.rate))), {"last": found[-1] if found else start["last"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return rows([p for p in listed(self.folder) if start["last"] < p <= end["last"]], self.rate)
+        return iter(list(rows([p for p in listed(self.folder) if start["last"] < p <= end["last"]], self.rate)))
 
 
 class WavSource(DataSource):

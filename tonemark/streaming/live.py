@@ -13,17 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemark import params as P
-from tonemark.operators.quantize import quantize_udf
+from tonemark.operators.quantize import codes
 from tonemark.operators.signal import Fingerprinter
 from tonemark.sources import wav
 
 ROWS = "query_id int, block_no int, lid int, t int, f int, d binary"
+CODED = "query_id int, block_no int, lid int, t int, f int, w int, e int"
 STATE = "tail binary, frames int, count int"
 
 
-def fingerprints(chunks: DataFrame, silence: str | None = None) -> DataFrame:
+def fingerprints(chunks: DataFrame, silence: str | None = None, codebook: np.ndarray | None = None) -> DataFrame:
     """query_id, block_no, lid, t, f, d of a stream of chunks (query_id, block_no, samples); chunks of a stream come in order of block_no.
 
+    With a codebook w and e in place of d: the monitor's input.
+
     A chunk of over QUERY_SECONDS is cut there. silence: how long a stream's state waits for more, for ever if None.
     """
     most = int(P.QUERY_SECONDS * P.SAMPLE_RATE)
@@ -37,27 +40,26 @@ def fingerprints(chunks: DataFrame, silence: str | None = None) -> DataFrame:
             tail, f.frames, f.count = state.get
             f.tail = np.frombuffer(bytes(tail), dtype=np.float32)
         rows = []
-        for part in [pd.concat(list(parts)).sort_values("block_no")]:
-            for no, samples in zip(part["block_no"], part["samples"], strict=True):
-                rows += [(key[0], int(no), *r) for r in f.process(np.asarray(samples, dtype=np.float32)[:most])]
+        part = pd.concat(list(parts)).sort_values("block_no")
+        for no, samples in zip(part["block_no"], part["samples"], strict=True):
+            rows += [(key[0], int(no), *r) for r in f.process(np.asarray(samples, dtype=np.float32)[:most])]
         state.update((f.tail.astype(np.float32).tobytes(), f.frames, f.count))
         if silence:
             state.setTimeoutDuration(silence)
-        yield pd.DataFrame(rows, columns=["query_id", "block_no", "lid", "t", "f", "d"])
+        out = pd.DataFrame(rows, columns=["query_id", "block_no", "lid", "t", "f", "d"])
+        if codebook is not None:
+            x = np.frombuffer(b"".join(out.pop("d")), dtype=np.uint8).reshape(-1, P.BYTES)
+            out["w"], out["e"] = codes(x, codebook)
+        yield out
 
     timeout = "ProcessingTimeTimeout" if silence else "NoTimeout"
-    return chunks.groupBy("query_id").applyInPandasWithState(each, ROWS, STATE, "append", timeout)
-
-
-def quantised(rows: DataFrame, codebook: np.ndarray) -> DataFrame:
-    """The monitor's input: descriptors replaced by codewords."""
-    found = rows.withColumn("q", quantize_udf(codebook)("d"))
-    return found.select("query_id", "block_no", "lid", "t", "f", F.col("q.w").alias("w"), F.col("q.e").alias("e"))
+    return chunks.groupBy("query_id").applyInPandasWithState(each, ROWS if codebook is None else CODED, STATE, "append", timeout)
 
 
 def chunk_files(spark: SparkSession, folder: str, files: int = 16) -> DataFrame:
     """A stream of chunks from WAV files named <stream>_<number>.wav that arrive in a folder, at most so many in a micro-batch."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.wav").option("maxFilesPerTrigger", files).load(folder)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.wav").option("maxFilesPerTrigger", files).load(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
