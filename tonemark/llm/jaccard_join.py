@@ -8,7 +8,7 @@ probability. Buckets only say which nodes belong together; within such a compone
 then compared exactly, block by block, so that all links between its texts are counted without listing them.
 
 A link at the threshold is lost only if its sets never meet in a bucket (RECALL) or differ in far more minima than
-expected (LIKELY, under one in 100,000), and no third set joins them.
+expected (LIKELY, about one in 10,000), and no third set joins them.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ MINIMA, SAMPLED, RECALL = 64, 2, 0.999
 SMALL, LARGE, DEPTH = 32, 2_048, 3
 #: Nodes, and shingles, of a block in the exact comparison; cells of a matrix that it holds at once.
 BLOCK, BLOCK_SHINGLES, CELLS = 1_024, 4_000_000, 8_000_000
-#: Agreement of two signatures from which their nodes may belong together: the threshold less four and a half standard deviations.
-LIKELY = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / MINIMA) ** 0.5
+#: Agreement of two signatures from which their nodes may belong together: the threshold less four standard deviations.
+LIKELY = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / MINIMA) ** 0.5
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
