@@ -39,9 +39,15 @@ def terms_of(words: set[str]) -> set[str]:
     return out
 
 
-def surface(text: str) -> list[int]:
-    """How often each pattern occurs."""
-    return [sum(1 for _ in p.finditer(text)) for p in PATTERNS]
+#: What a text must hold for a pattern to occur; the last pattern is sought in its distinct words first.
+_MARKS = (("!",), ("!!", "??", "!?", "?!"), ("**", "##", "@@", "$$", "*#", "*@", "*$", "#*", "#@", "#$", "@*", "@#", "@$", "$*", "$#", "$@"))
+
+
+def surface(text: str, distinct: set[str]) -> list[int]:
+    """How often each pattern occurs. distinct: the lower-cased words of the text."""
+    may = [any(m in text for m in marks) for marks in _MARKS]
+    may.append("İ" in text or PATTERNS[3].search("\n".join(distinct)) is not None)  # this letter alone becomes two in lower case
+    return [sum(1 for _ in p.finditer(text)) if m else 0 for p, m in zip(PATTERNS, may, strict=True)]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, toxic: int, other: int) -> DataFrame:
@@ -60,7 +66,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
                 words = WORD.findall(text.lower())
                 runs = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))]
                 low = min(runs), min(h * 0x9E3779B97F4A7C15 % 2**64 for h in runs)
-                for c, v in zip(out, (i, y, low[0] - 2**63, low[1] - 2**63, len(words), surface(text), sorted(terms_of(set(words)))), strict=True):
+                for c, v in zip(out, (i, y, low[0] - 2**63, low[1] - 2**63, len(words), surface(text, set(words)), sorted(terms_of(set(words)))), strict=True):
                     out[c].append(v)
             return out
 
@@ -276,7 +282,7 @@ def score(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
                     h.update(table[s] for s in table.keys() & {w[:k] for w in distinct if len(w) >= k})
                 hits.append(sorted(h))
                 n_words.append(len(words))
-                surfaces.append(surface(text or ""))
+                surfaces.append(surface(text or "", distinct))
             z = features(hits, n_words, surfaces, n).product(model.weight) + model.bias
             return {"id": x["id"], "score": (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()}
 
