@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemark.functions import audio
+from tonemark.sources.synthetic import drawn
 
 
 def outcomes(results: DataFrame, truth: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def noisy(clips: DataFrame, noise: DataFrame, gain: float, noise_gain: float, se
     one = noise.limit(1).select(F.lit(0).alias("k"), F.col("samples").alias("noise"))
     rows = clips.withColumn("k", F.col("query_id") * 0).join(F.broadcast(one), "k").drop("k")
     room = F.greatest(F.size("noise") - F.size("samples"), F.lit(0)) + 1
-    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("bigint"), room)
+    start = drawn(room, F.lit(seed), F.col("query_id"))
     rows = rows.withColumn("noise", F.slice("noise", (start + 1).cast("int"), F.size("samples")))
     rows = rows.withColumns({"samples": audio.gain(F.col("samples"), gain), "noise": audio.gain(F.col("noise"), noise_gain)})
     snr = audio.snr(audio.power(F.col("samples")), audio.power(F.col("noise")))

@@ -223,7 +223,7 @@ QUERIES: dict[str, Query] = {
     "fuzzy_easy": lambda spark, _: _grid(spark, "EASY"),
     "fuzzy_strict": lambda spark, _: _grid(spark, "STRICT"),
     "fuzzy_identify": _s(lambda s: s.identified(), keep=True),
-    "fuzzy_identify_all": _s(lambda s: engine.identify(fixtures.all_query_fingerprints(s.spark, s.sf_dir), s.postings, s.qlf, engine.Config())),
+    "fuzzy_identify_all": _s(lambda s: engine.identify(materialize(fixtures.all_query_fingerprints(s.spark, s.sf_dir), "queries"), s.postings, s.qlf, engine.Config(), flush=False), keep=True),
     "fuzzy_identify_flush": _s(lambda s: s.identified(flush=True), keep=True),
     "binary_identify": _s(lambda s: s.identified(id_type="BINARY", binary_threshold=0.7), keep=True),
     "cue_points": _s(lambda s: s.best.select(*match.KEYS, "fid", T.cue_point(F.col("bin")).alias("cue_point"))),

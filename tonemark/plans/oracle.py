@@ -116,6 +116,15 @@ CTES["audio"] = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DO
 
 CTES.update(parts_sql.CTES)
 
+#: The queries of fuzzy_identify_all in place of the query set.
+ALL_QUERIES = """SELECT query_id, CAST(t // 130 AS INTEGER) AS block_no, lid, t, f, w, e FROM (
+    SELECT fid AS query_id, lid - start AS lid, t - 4 * start AS t, f, CASE WHEN (lid - start) % 5 = 0 THEN (w + 1) % 100 ELSE w END AS w, e
+    FROM (SELECT *, CAST(greatest(0, least(100, max(lid) OVER (PARTITION BY fid) + 1 - 120)) AS INTEGER) AS start FROM qlf) WHERE lid BETWEEN start AND start + 119
+    UNION ALL
+    SELECT CAST(1000000 + o_custkey // 40 AS INTEGER), CAST(lid AS INTEGER), CAST(4 * lid + o_orderkey % 3 AS INTEGER), CAST(36 + (o_orderkey * 53 + o_custkey * 7) % 521 AS INTEGER),
+    CAST((o_orderkey * 13 + o_custkey * 29) % 100 AS INTEGER), CAST(50 + o_custkey % 206 AS INTEGER)
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey // 40 ORDER BY o_orderkey) - 1 AS lid FROM orders))"""
+
 QUERIES: dict[str, str] = {
     **parts_sql.QUERIES,
     "qlf_corpus": "SELECT * FROM qlf",
@@ -147,6 +156,7 @@ QUERIES: dict[str, str] = {
     "fuzzy_easy": "SELECT c, d, class FROM (" + fuzzy("EASY", "(SELECT CAST(i AS DOUBLE) / 50 AS c, CAST(j AS DOUBLE) / 2 AS d FROM range(0, 51) a(i), range(0, 51) b(j))") + ")",
     "fuzzy_strict": "SELECT c, d, class FROM (" + fuzzy("STRICT", "(SELECT CAST(i AS DOUBLE) / 50 AS c, CAST(j AS DOUBLE) / 2 AS d FROM range(0, 51) a(i), range(0, 51) b(j))") + ")",
     "fuzzy_identify": "SELECT * FROM result",
+    "fuzzy_identify_all": "SELECT * FROM result",
     "binary_identify": results("bindecided"),
     "cue_points": "SELECT query_id, batch, fid, CAST(trunc((365 * bin + 182) * 0.0138776::DOUBLE) AS INTEGER) AS cue_point FROM best",
     "results_with_metadata": "SELECT r.query_id, r.status, r.fid, coalesce(s_name, '') AS meta FROM result r LEFT JOIN supplier ON s_suppkey + 1 = r.fid",
@@ -195,7 +205,8 @@ def sql(name: str) -> str:
             if k not in need and re.search(rf"\b(FROM|JOIN)\s+{k}\b", text):
                 need.add(k)
                 todo.append(CTES[k])
-    parts = ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in CTES.items() if k in need)
+    known = CTES | {"q": ALL_QUERIES} if name == "fuzzy_identify_all" else CTES
+    parts = ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in known.items() if k in need)
     return f"WITH {parts} {body}" if parts else body
 
 

@@ -49,6 +49,12 @@ def bits_of(hex_: str, word: str) -> str:
     return f"CAST('0x' || rpad(substr({hex_}, {word} * 16 + 1, 16), 16, '0') AS UBIGINT)"
 
 
+def drawn(m: str, *key: object) -> str:
+    """A number below m by the hash of a key."""
+    text = " || ':' || ".join(str(k) if isinstance(k, str) else f"'{k}'" for k in key)
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {m}"
+
+
 CTES: dict[str, str] = {
     "smp": """SELECT CAST(l_suppkey + 1 AS INTEGER) AS fid, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, x) - 1 AS i, x
         FROM (SELECT *, ((l_partkey * 7919 + l_orderkey * 31 + l_linenumber) % 65536 - 32768) / 32768.0::DOUBLE AS x FROM lineitem)""",
@@ -80,7 +86,10 @@ CTES: dict[str, str] = {
     "kc0": "SELECT s.code, b.i, b.bit FROM seeded s JOIN bitrows b USING (point) WHERE s.code < 5",
     **median_round(1),
     **median_round(2),
-    "cuts": """SELECT *, ('0x' || substr(md5('1:' || fid || ':' || c), 1, 8))::BIGINT % (greatest(n - 80, 0) + 1) AS start FROM lens, range(0, 3) a(c)""",
+    "cuts": f"SELECT *, {drawn('(greatest(n - 80, 0) + 1)', 1, 'fid', 'c')} AS start FROM lens, range(0, 3) a(c)",
+    "secs": f"SELECT fid, unnest(range(0, 240 + {drawn('181', 1, 1, 'fid')})) AS s FROM range(1, 21) a(fid)",
+    "draws": f"SELECT fid, s, unnest(range(0, 15 + {drawn('11', 1, 2, 'fid', 's')})) AS j FROM secs",
+    "spots": f"SELECT DISTINCT fid, CAST(s * 73 + {drawn('73', 1, 3, 'fid', 's', 'j')} AS INTEGER) AS t, CAST(18 + {drawn('558', 1, 4, 'fid', 's', 'j')} AS INTEGER) AS f FROM draws",
 }
 
 _DECODED = "CASE bits WHEN 8 THEN least(greatest(round_even(x * 128, 0), -128), 127) / 128 ELSE x END"
@@ -108,6 +117,9 @@ QUERIES: dict[str, str] = {
         FROM cuts c JOIN smp s ON s.fid = c.fid AND s.i >= c.start AND s.i < c.start + 80 GROUP BY c.fid, c.c, c.start""",
     "vbyte_code": f"""SELECT fid, string_agg(array_to_string(list_transform(range(0, n), lambda b: printf('%02x', CAST(((v >> CAST(7 * b AS INTEGER)) & 127) + CASE WHEN b = n - 1 THEN 128 ELSE 0 END AS INTEGER))), ''), '' ORDER BY lid) AS code
         FROM (SELECT fid, lid, CAST(t AS BIGINT) * 1000 AS v, {size("CAST(t AS BIGINT) * 1000")} AS n FROM qlf) GROUP BY fid""",
+    "vbyte_roundtrip": f"SELECT fid, CAST(count(*) AS INTEGER) AS n, CAST(sum({size('t')}) AS INTEGER) AS n_bytes, true AS same FROM qlf GROUP BY fid",
+    "synthetic_corpus": f"""SELECT CAST(fid AS INTEGER) AS fid, CAST(row_number() OVER (PARTITION BY fid ORDER BY t, f) - 1 AS INTEGER) AS lid, t, f,
+        CAST({drawn('100', 1, 5, 'fid', 't', 'f')} AS INTEGER) AS w, CAST(50 + {drawn('206', 1, 6, 'fid', 't', 'f')} AS INTEGER) AS e FROM spots""",
     "vbyte_table_function": "SELECT fid, lid AS pos, CAST(t AS BIGINT) * 1000 AS value FROM qlf",
     "block_layout": f"SELECT * FROM {layout('cpb')}",
     "block_layout_small": f"SELECT * FROM {layout('cpb', 500, 900)}",

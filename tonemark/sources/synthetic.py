@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonemark import params as P
 
 
+def drawn(m: int | Column, *key: Column) -> Column:
+    """A number below m, the same for the same key: the first 32 bits of a hash that SQL engines have, too."""
+    text = F.md5(F.concat_ws(":", *[k.cast("string") for k in key]))
+    return F.pmod(F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint"), m if isinstance(m, Column) else F.lit(m))
+
+
 def recordings(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     """fid, lid, t, f, w, e: n recordings of 240 to 420 seconds with 15 to 25 fingerprints in each, at distinct times and frequencies."""
-    u = lambda k, m, *c: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *c), F.lit(m))
+    u = lambda k, m, *c: drawn(m, F.lit(seed), F.lit(k), *c)
     recs = spark.range(1, n + 1).select(F.col("id").cast("int").alias("fid"))
     secs = recs.withColumn("s", F.explode(F.sequence(F.lit(0), 239 + u(1, 181, F.col("fid")))))
     cells = secs.withColumn("j", F.explode(F.sequence(F.lit(0), 14 + u(2, 11, F.col("fid"), F.col("s")))))
@@ -44,6 +50,5 @@ def clips(recs: DataFrame, per: int, length: int, seed: int = 1) -> DataFrame:
     """query_id, fid, start, samples: `per` seeded slices of `length` samples of each recording (fid, samples), of the whole where it is shorter."""
     room = F.greatest(F.size("samples") - length, F.lit(0)) + 1
     cut = recs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("fid").cast("string"), F.col("c").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    cut = cut.withColumn("start", F.pmod(draw, room).cast("int"))
+    cut = cut.withColumn("start", drawn(room, F.lit(seed), F.col("fid"), F.col("c")).cast("int"))
     return cut.select((F.col("fid") * per + F.col("c")).cast("int").alias("query_id"), "fid", "start", F.slice("samples", F.col("start") + 1, F.lit(length)).alias("samples"))
