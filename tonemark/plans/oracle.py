@@ -104,6 +104,32 @@ def results(source: str) -> str:
 
 
 CTES["result"] = results("decided")
+
+#: The incomplete last batch of queries that would end without a match: the same steps from terms to parts, under other names.
+_AGAIN = ("b", "qt", "hits", "firsts", "ordered", "counted", "scored", "bins", "best", "placed", "top", "conf", "unclear", "peaks", "pairs", "qn", "qe", "rn", "re", "common", "gs", "gb", "again", "parts")
+
+
+def renamed(text: str) -> str:
+    names = "|".join(_AGAIN)
+    return re.sub(r"\b(qe|re)\.(?=[a-z])", r"\1_f.", re.sub(rf"\b(FROM|JOIN) ({names})\b", r"\1 \2_f", text))
+
+
+CTES["lost"] = "SELECT query_id, max(block_no) AS block_no, max(id_time) AS id_time FROM decided GROUP BY query_id HAVING bool_and(class = 'UNIDENTIFIED')"
+CTES["got"] = "SELECT q.*, l.block_no AS done_block, max(q.lid) OVER (PARTITION BY q.query_id) AS horizon FROM q JOIN lost l ON l.query_id = q.query_id AND q.block_no <= l.block_no"
+CTES["b_f"] = "SELECT * FROM (SELECT *, CAST(lid // 20 AS INTEGER) AS batch, count(*) OVER (PARTITION BY query_id) AS n FROM got WHERE lid // 20 = (horizon + 1) // 20) WHERE n >= 2"
+CTES.update({f"{name}_f": renamed(CTES[name]) for name in _AGAIN[1:]})
+CTES["both_f"] = """SELECT query_id, batch, fid, score, bin FROM parts_f UNION ALL SELECT p.query_id, p.batch, p.fid, p.score, p.bin FROM parts p
+    JOIN (SELECT DISTINCT query_id, batch, done_block FROM b) d ON d.query_id = p.query_id AND d.batch = p.batch JOIN lost l ON l.query_id = p.query_id AND d.done_block <= l.block_no"""
+CTES["tops_f"] = """SELECT *, max(ac) OVER w AS top1, max(CASE WHEN place = 2 THEN ac END) OVER w AS top2 FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY ac DESC) AS place
+    FROM (SELECT g.query_id, p.fid, CAST(sum(p.score) AS BIGINT) AS ac, arg_max(p.bin, p.batch) AS bin FROM (SELECT DISTINCT query_id, batch FROM b_f) g JOIN both_f p ON p.query_id = g.query_id AND p.batch <= g.batch GROUP BY g.query_id, p.fid)) WINDOW w AS (PARTITION BY query_id)"""
+CTES["spans_f"] = "SELECT e.query_id, (e.t1 - coalesce(q.t, 0)) * 0.0138776::DOUBLE AS span FROM (SELECT query_id, max(t) AS t1, min(lid) AS lid FROM b_f GROUP BY query_id) e LEFT JOIN q ON q.query_id = e.query_id AND q.lid = e.lid - 1"
+CTES["rows_f"] = """SELECT query_id, block_no, id_time, fid, ac, bin, mean_conf, mean_conf AS c, CASE WHEN id_time < 20 THEN acc_time ELSE id_time END AS d FROM (
+    SELECT t.query_id, l.block_no, l.id_time, t.fid, t.ac, t.bin, (coalesce(e.c, 0) + t.top1::DOUBLE / (t.top1 + coalesce(t.top2, 0))) / (coalesce(e.n, 0) + 1) AS mean_conf, coalesce(e.n, 0) * 1.804088::DOUBLE + s.span AS acc_time
+    FROM tops_f t JOIN lost l ON l.query_id = t.query_id JOIN spans_f s ON s.query_id = t.query_id
+    LEFT JOIN (SELECT x.query_id, x.fid, sum(x.conf) AS c, count(*) AS n FROM stepbest x JOIN lost y ON y.query_id = x.query_id AND x.block_no <= y.block_no GROUP BY x.query_id, x.fid) e ON e.query_id = t.query_id AND e.fid = t.fid WHERE t.place = 1)"""
+CTES["won_f"] = "SELECT * FROM (" + fuzzy("EASY", "rows_f") + ") WHERE class IN ('IDENTIFIED', 'SOUNDS_LIKE')"
+CTES["decided_f"] = """SELECT query_id, block_no, id_time, fid, ac, bin, mean_conf, class FROM decided WHERE query_id NOT IN (SELECT query_id FROM won_f)
+    UNION ALL SELECT query_id, block_no, id_time, fid, ac, bin, mean_conf, class FROM won_f"""
 CTES["truth"] = "SELECT DISTINCT query_id, CASE WHEN query_id < 1000000 THEN query_id END AS fid FROM q"
 CTES["bits"] = "SELECT vec_id AS point, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings"
 CTES["bitrows"] = "SELECT point, label, unnest(bits) AS bit, unnest(range(0, len(bits))) AS i FROM bits"
@@ -157,6 +183,8 @@ QUERIES: dict[str, str] = {
     "fuzzy_strict": "SELECT c, d, class FROM (" + fuzzy("STRICT", "(SELECT CAST(i AS DOUBLE) / 50 AS c, CAST(j AS DOUBLE) / 2 AS d FROM range(0, 51) a(i), range(0, 51) b(j))") + ")",
     "fuzzy_identify": "SELECT * FROM result",
     "fuzzy_identify_all": "SELECT * FROM result",
+    "fuzzy_identify_flush": results("decided_f"),
+    "stream_identify": f"SELECT * FROM ({results('decided_f')}) WHERE status <> 'PENDING'",
     "binary_identify": results("bindecided"),
     "cue_points": "SELECT query_id, batch, fid, CAST(trunc((365 * bin + 182) * 0.0138776::DOUBLE) AS INTEGER) AS cue_point FROM best",
     "results_with_metadata": "SELECT r.query_id, r.status, r.fid, coalesce(s_name, '') AS meta FROM result r LEFT JOIN supplier ON s_suppkey + 1 = r.fid",
