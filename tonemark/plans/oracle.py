@@ -109,15 +109,14 @@ CTES["result"] = results("decided")
 _AGAIN = ("b", "qt", "hits", "firsts", "ordered", "counted", "scored", "bins", "best", "placed", "top", "conf", "unclear", "peaks", "pairs", "qn", "qe", "rn", "re", "common", "gs", "gb", "again", "parts")
 
 
-def renamed(text: str) -> str:
-    names = "|".join(_AGAIN)
-    return re.sub(r"\b(qe|re)\.(?=[a-z])", r"\1_f.", re.sub(rf"\b(FROM|JOIN) ({names})\b", r"\1 \2_f", text))
+def renamed(text: str, tables: tuple[str, ...], end: str) -> str:
+    return re.sub(r"\b(qe|re)\.(?=[a-z])", rf"\1{end}.", re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", rf"\1 \2{end}", text))
 
 
 CTES["lost"] = "SELECT query_id, max(block_no) AS block_no, max(id_time) AS id_time FROM decided GROUP BY query_id HAVING bool_and(class = 'UNIDENTIFIED')"
 CTES["got"] = "SELECT q.*, l.block_no AS done_block, max(q.lid) OVER (PARTITION BY q.query_id) AS horizon FROM q JOIN lost l ON l.query_id = q.query_id AND q.block_no <= l.block_no"
 CTES["b_f"] = "SELECT * FROM (SELECT *, CAST(lid // 20 AS INTEGER) AS batch, count(*) OVER (PARTITION BY query_id) AS n FROM got WHERE lid // 20 = (horizon + 1) // 20) WHERE n >= 2"
-CTES.update({f"{name}_f": renamed(CTES[name]) for name in _AGAIN[1:]})
+CTES.update({f"{name}_f": renamed(CTES[name], _AGAIN, "_f") for name in _AGAIN[1:]})
 CTES["both_f"] = """SELECT query_id, batch, fid, score, bin FROM parts_f UNION ALL SELECT p.query_id, p.batch, p.fid, p.score, p.bin FROM parts p
     JOIN (SELECT DISTINCT query_id, batch, done_block FROM b) d ON d.query_id = p.query_id AND d.batch = p.batch JOIN lost l ON l.query_id = p.query_id AND d.done_block <= l.block_no"""
 CTES["tops_f"] = """SELECT *, max(ac) OVER w AS top1, max(CASE WHEN place = 2 THEN ac END) OVER w AS top2 FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY ac DESC) AS place
@@ -130,6 +129,29 @@ CTES["rows_f"] = """SELECT query_id, block_no, id_time, fid, ac, bin, mean_conf,
 CTES["won_f"] = "SELECT * FROM (" + fuzzy("EASY", "rows_f") + ") WHERE class IN ('IDENTIFIED', 'SOUNDS_LIKE')"
 CTES["decided_f"] = """SELECT query_id, block_no, id_time, fid, ac, bin, mean_conf, class FROM decided WHERE query_id NOT IN (SELECT query_id FROM won_f)
     UNION ALL SELECT query_id, block_no, id_time, fid, ac, bin, mean_conf, class FROM won_f"""
+#: Search by pairs: terms of pairs of a query, their hits, and each bin as a walk over its hits in order.
+_STEP = "CAST(trunc(CAST(CAST(n.{0} AS FLOAT) / CAST({1} AS FLOAT) AS FLOAT) - CAST(CAST(a.{0} AS FLOAT) / CAST({1} AS FLOAT) AS FLOAT)) AS INTEGER)"
+_BANDED = "(SELECT *, row_number() OVER (PARTITION BY query_id, f // 186 ORDER BY lid) AS r FROM q)"
+CTES["xp"] = f"""SELECT CAST((a.w << 19) | ((a.f // 186) << 17) | (n.w << 10) | ({_STEP.format("t", 5)} << 6) | ({_STEP.format("f", 9)} & 63) AS INTEGER) AS term, a.query_id, a.lid AS k, n.lid AS j, a.e AS eq
+    FROM {_BANDED} a JOIN {_BANDED} n ON a.query_id = n.query_id AND a.f // 186 = n.f // 186 AND n.r BETWEEN a.r + 1 AND a.r + 10 AND n.t - a.t <= 73"""
+CTES["xt"] = "SELECT * FROM (SELECT p.*, b.batch, row_number() OVER (PARTITION BY p.query_id, b.batch, p.term ORDER BY p.k, p.j) AS r FROM xp p JOIN b ON b.query_id = p.query_id AND b.lid = p.k WHERE p.j <= b.horizon) WHERE r = 1"
+CTES["xh"] = """SELECT *, row_number() OVER (PARTITION BY query_id, batch, fid, bin ORDER BY k, j, lid, t, e, eq) AS r FROM (SELECT x.query_id, x.batch, x.k, x.j, x.eq, s.fid, s.lid, s.t, s.e, CAST(s.t // 365 AS INTEGER) AS bin
+    FROM xt x JOIN bt s ON s.term = x.term)"""
+_SIMILAR = "(1000 * (720 - abs(h.eq - h.e))) // 720"
+CTES["xw"] = f"""SELECT * FROM (WITH RECURSIVE walk AS (
+    SELECT query_id, batch, fid, bin, r, map([lid], [k]) AS owner, CAST({_SIMILAR} + CASE WHEN t >= -2 THEN 1000 ELSE 0 END AS BIGINT) AS score, CAST(t >= -2 AS INTEGER) AS ordered, t, k, j, lid FROM xh h WHERE r = 1
+    UNION ALL
+    SELECT query_id, batch, fid, bin, r, CASE WHEN takes AND mine IS NULL THEN map_concat(owner, map([hl], [hk])) ELSE owner END, CASE WHEN takes THEN score + sim + CASE WHEN fit = 1 THEN (1000 * (ordered + 1)) // (cardinality(owner) + CAST(mine IS NULL AS INTEGER)) ELSE 0 END ELSE score END,
+    CASE WHEN takes THEN ordered + fit ELSE ordered END, CASE WHEN takes THEN ht ELSE t END, CASE WHEN takes THEN hk ELSE k END, CASE WHEN takes THEN hj ELSE j END, CASE WHEN takes THEN hl ELSE lid END
+    FROM (SELECT w.query_id, w.batch, w.fid, w.bin, h.r, w.owner, w.score, w.ordered, w.t, w.k, w.j, w.lid, h.t AS ht, h.k AS hk, h.j AS hj, h.lid AS hl, {_SIMILAR} AS sim, CAST(h.t - w.t >= -2 AS INTEGER) AS fit, element_at(w.owner, h.lid)[1] AS mine,
+        NOT (w.k = h.k AND w.j = h.j) AND coalesce(element_at(w.owner, h.lid)[1] = h.k, true) AS takes
+        FROM walk w JOIN xh h ON h.query_id = w.query_id AND h.batch = w.batch AND h.fid = w.fid AND h.bin = w.bin AND h.r = w.r + 1))
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, batch, fid, bin ORDER BY r DESC) AS z FROM walk)) WHERE z = 1"""
+CTES["bins_x"] = "SELECT query_id, batch, fid, bin, score FROM xw"
+CTES["scored_x"] = "SELECT query_id, batch, fid, bin, unnest(map_values(owner)) AS k, unnest(map_keys(owner)) AS lid FROM xw"
+CTES["best_x"] = "SELECT query_id, batch, fid, bin, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, batch, fid ORDER BY score DESC, k, j, lid) AS y FROM xw) WHERE y = 1"
+_PAIRED = ("bins", "scored", "best", "placed", "top", "conf", "unclear", "peaks", "pairs", "qn", "qe", "rn", "re", "common", "gs", "gb", "again", "parts", "acc", "final", "tops", "stepbest", "running", "fuzzyin", "classed", "decided")
+CTES.update({f"{name}_x": renamed(CTES[name], _PAIRED, "_x").replace("tie <= 11", "tie <= 10") for name in _PAIRED[3:]})
 CTES["truth"] = "SELECT DISTINCT query_id, CASE WHEN query_id < 1000000 THEN query_id END AS fid FROM q"
 CTES["bits"] = "SELECT vec_id AS point, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings"
 CTES["bitrows"] = "SELECT point, label, unnest(bits) AS bit, unnest(range(0, len(bits))) AS i FROM bits"
@@ -184,6 +206,8 @@ QUERIES: dict[str, str] = {
     "fuzzy_identify": "SELECT * FROM result",
     "fuzzy_identify_all": "SELECT * FROM result",
     "fuzzy_identify_flush": results("decided_f"),
+    "xscale_bins": "SELECT query_id, batch, fid, bin, score, place FROM top_x",
+    "xscale_match": results("decided_x"),
     "stream_identify": f"SELECT * FROM ({results('decided_f')}) WHERE status <> 'PENDING'",
     "binary_identify": results("bindecided"),
     "cue_points": "SELECT query_id, batch, fid, CAST(trunc((365 * bin + 182) * 0.0138776::DOUBLE) AS INTEGER) AS cue_point FROM best",
