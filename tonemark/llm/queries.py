@@ -77,4 +77,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_sentencepiece, op4_license_scans, op5_nearest_neighbours, op6_quality_rules, op7_language_id, op8_best_fit_packing, op9_ngram_jaccard_join, op10_token_counts)}
 
 
-ORACLE_SQL: dict[str, str] = {"op4_license_scans": license_sql()}
+#: All links and classes by counting the shared windows of five words of every pair that has one.
+JOIN_SQL = """WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM d),
+    e AS MATERIALIZED (SELECT r, len(g) AS n, unnest(g) AS g FROM s),
+    i AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+    l AS MATERIALIZED (SELECT *, c = n AND c = m AS same FROM i WHERE 10 * c >= 8 * (n + m - c)),
+    reach AS (SELECT r, r AS m FROM s UNION SELECT l.a, reach.m FROM reach JOIN l ON l.b = reach.r)
+    SELECT s.doc_id, (SELECT min(t.doc_id) FROM reach x JOIN s t ON t.r = x.m WHERE x.r = s.r) AS class_id, (SELECT count(*) FROM l WHERE l.a = s.r) AS n_links,
+    least(s.doc_id, coalesce((SELECT min(t.doc_id) FROM l JOIN s t ON t.r = l.b WHERE l.a = s.r AND l.same), s.doc_id)) AS copy_id FROM s"""
+
+ORACLE_SQL: dict[str, str] = {"op4_license_scans": license_sql(), "op9_ngram_jaccard_join": JOIN_SQL}
