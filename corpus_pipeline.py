@@ -21,7 +21,11 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those of which no language has LEAST_SCORE."""
+    """Drops documents without a letter, and those of which no language has LEAST_SCORE.
+
+    A null, empty or letterless text goes; null ids, languages and sources stay; repeated rows are judged alike; ties go to the
+    language that comes first; without labelled rows, or in an empty table, nothing is left. Columns of any name and type are carried along.
+    """
     columns = docs.columns
     mark = reduce(lambda name, _: name + "_" if name in columns else name, columns, "lang_pred_id")
     found = language_id.identify(docs.withColumn(mark, F.col("doc_id")), language_network(docs), mark, "text", keep=columns)
@@ -32,7 +36,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules, and outliers of their language and source."""
+    """Drops documents that fail the base rules, and outliers of their language and source.
+
+    A null or empty text has no words and goes; a null language or source is a group of its own; repeated rows are judged
+    alike; an empty table gives none. Columns of any name and type are carried along.
+    """
     columns = docs.columns
     judged = quality_rules.quality(docs, keep=tuple(columns))
     judged = judged.toDF(*[f"q{i}" for i in range(len(judged.columns) - len(columns) - 1)], "kept", *[f"k{i}" for i in range(len(columns))])
@@ -40,7 +48,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class of near duplicates: that with the least doc_id, rows without one last, and of several texts under this id one of the class."""
+    """Keeps one row of each class of near duplicates: that with the least doc_id, rows without one last, and of several texts under this id one of the class.
+
+    Of equal rows one stays. A text without words (null, empty, blank) is in no class: each such row stays. Rows of one
+    doc_id with texts that aren't near are told apart. An empty table gives none. Columns of any name and type are carried along.
+    """
     row = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text"))
     found = jaccard_join.near_duplicates(docs.select(row().alias("row"), "text"), "row")
     first = found.where(F.col("row") == F.col("class_id")).select(F.col("row").alias("first"), (F.col("n_links") > 0).alias("linked")).distinct()
@@ -51,7 +63,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens."""
+    """Packs what is left into sequences of 1024 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null text is the end id alone; null ids and repeated rows are packed like others; an empty table gives none; other columns are not read.
+    """
     return packing.pack(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), special=True)
 
 
