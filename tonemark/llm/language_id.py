@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LETTER, map_arrow
@@ -131,14 +131,10 @@ def train(samples: Sequence[tuple[bytes, str]], steps: int = 160, batch: int = 9
 def sample_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int = TEXTS, windows: int = WINDOWS) -> list[tuple[bytes, str]]:
     """At most about `texts` texts of each language, chosen by a hash of their id, and `windows` windows of each, anywhere in it."""
     rows = labelled.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g")).where(F.col("g").isNotNull() & (F.length("t") > 0))
-    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return []
-    rate: Column = F.lit(0.0)
-    for g, n in sorted(counts.items()):
-        rate = F.when(F.col("g") == g, F.lit(min(1.0, texts / n))).otherwise(rate)
+    rates = rows.groupBy("g").agg(F.least(F.lit(1.0), F.lit(float(texts)) / F.count(F.lit(1))).alias("rate"))
     h = F.xxhash64(F.lit(11), F.col("i"))
-    chosen = rows.where(F.pmod(h, F.lit(1_000_003)) < rate * 1_000_003)
+    # a row for each language
+    chosen = rows.join(F.broadcast(rates), "g").where(F.pmod(h, F.lit(1_000_003)) < F.col("rate") * 1_000_003)
     room = F.greatest(F.length("t") - WINDOW, F.lit(1))
     parts = [F.substring(F.col("t"), (F.pmod(F.xxhash64(F.lit(k), F.col("i")), room) + 1).cast("int"), F.lit(WINDOW)) for k in range(windows)]
     got = chosen.select("i", "g", F.array(*parts).alias("p")).collect()
