@@ -110,8 +110,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
     elif args.command == "index":
         store = FingerprintStore(spark, args.store, "BUILD")
         old = store.read("fingerprints").agg(F.max("fid")).first()[0] or 0
-        recs = short_enough(recordings(spark, args.audio, old + 1), args.max_seconds)
-        qlf = materialize(quantised_fingerprints(signal.reblock(recs, P.INDEX_SECONDS, args.max_seconds), load_codebook(spark, args.codebook)).drop("block_no"), "fingerprints")
+        most = engine.Config(max_recording=args.max_seconds).max_recording
+        recs = short_enough(recordings(spark, args.audio, old + 1), most)
+        qlf = materialize(quantised_fingerprints(signal.reblock(recs, P.INDEX_SECONDS, most), load_codebook(spark, args.codebook)).drop("block_no"), "fingerprints")
         with session(store, args.match_type) as s:
             s.index(qlf)
         store.put_metadata(recs.select("fid", F.regexp_extract("path", r"([^/]+)$", 1).alias("meta")))

@@ -11,7 +11,7 @@ CELL_T, CELL_F, STRIDE_T, STRIDE_F, NEXT_T, NEXT_F = 1, 3, 1, 3, 1, 3
 CELLS_T, CELLS_F, BITS = 18, 10, 720
 BYTES = BITS // 8
 LEAST_BLOCK, MAX_RECORDING = 0.5, 1800
-READ_SECONDS, INDEX_SECONDS, QUERY_SECONDS = 5, 60, 2.5
+INDEX_SECONDS, QUERY_SECONDS = 60, 2.5
 
 # vocabulary and terms
 WORDS, MAX_ERROR = 100, 255
@@ -26,7 +26,7 @@ AROUND_GRAPH, PEAK_RADIUS = 15, 3
 MAX_ID_TIME = 20.0
 
 # postings layout
-BLOCK_BYTES, CHUNK_BYTES, CACHE_MB = 32768, 6553, 128
+BLOCK_BYTES, CHUNK_BYTES = 32768, 6553
 
 MATCH_TYPES = ("MSCALE", "XSCALE")
 ID_TYPES = ("FUZZY", "BINARY")
