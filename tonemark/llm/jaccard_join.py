@@ -272,9 +272,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
     members = materialize(members.join(sizes, "root").withColumnRenamed("h", "rep_h"), "join-members")
     of_row = (F.col("rep_h") == F.col("h")) & F.col("rep").eqNullSafe(F.col("id"))
-    texts = members.where("n_rows = 1").join(base, of_row).select("root", "key", "n", "blocks", "text")
+    # by a shuffle at every size: the members grow with the data
+    texts = members.where("n_rows = 1").hint("merge").join(base, of_row).select("root", "key", "n", "blocks", "text")
     if members.where("n_rows > 1").limit(1).count():  # rows of one id and one text: one of them is enough
-        texts = texts.union(members.where("n_rows > 1").join(base, of_row).select("root", "key", "n", "blocks", "text").dropDuplicates(["key"]))
+        texts = texts.union(members.where("n_rows > 1").hint("merge").join(base, of_row).select("root", "key", "n", "blocks", "text").dropDuplicates(["key"]))
     i = F.pmod(F.xxhash64("key"), F.col("blocks"))
     pairs = texts.withColumn("i0", i).withColumn("j0", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("root", F.least("i0", "j0").alias("i"), F.greatest("i0", "j0").alias("j"), (F.col("i0") > F.col("j0")).alias("second"), "key", "n", "blocks", "text")
