@@ -24,3 +24,14 @@ def test_hits_are_neither_shuffled_nor_sorted(spark, sf_dir, name):
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("MapInArrow")]
     assert not any(x in above for x in ("Join", "Aggregate", "Window", "Repartition", "Sort"))
+
+
+def test_distinct_pairs_need_no_shuffle_of_pairs(spark, sf_dir):
+    from tonemark.operators import index
+    from tonemark.sources import fixtures
+
+    qlf = fixtures.corpus(spark, sf_dir)
+    got = index.build(qlf, "XSCALE")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    key = ["term", "fid", "lid", "t", "e"]
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, index.pair_terms(qlf).select(*key).distinct().collect()))
