@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from tests.test_catalogue import rows
 
-from tonemark.operators import grid
+from tonemark.operators import grid, local_graphs
 from tonemark.plans import catalogue, oracle
 
 
@@ -26,6 +26,37 @@ def test_hits_are_neither_shuffled_nor_sorted(spark, sf_dir, name):
     assert not any(x in above for x in ("Join", "Aggregate", "Window", "Repartition", "Sort"))
 
 
+@pytest.mark.parametrize("name", ["peak_bins", "graph_edges", "graph_common", "graph_rerank"])
+def test_graphs_in_many_small_tasks_equal_sql(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(local_graphs, "HELD", 500)
+    monkeypatch.setattr(local_graphs, "PAIRS", 7)
+    monkeypatch.setattr(grid, "CHUNK", 40)
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got = catalogue.QUERIES[name](spark, sf_dir)
+    assert rows(got.toPandas()) == rows(con.sql(oracle.sql(name)).df())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    # neighbourhoods and their edges are neither joined nor shuffled; centres are made distinct
+    assert not any(x in above for x in ("Join", "Generate", "Window", "Repartition", "Sort"))
+
+
+def test_graphs_with_gaps_in_recordings_equal_joins(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tonemark.operators import match, rerank
+    from tonemark.plans.catalogue import Stages
+
+    s = Stages(spark, sf_dir, keep=True)
+    some = s.qlf.where(F.col("lid") % 7 != 3)
+    scored = match.candidate_scores(s.doubtful, s.batches, s.postings)
+    pairs = rerank.centre_pairs(scored, match.peaks(match.bin_scores(scored), s.doubtful))
+    want = rerank.rerank(rerank.common_edges(pairs, s.batches, s.q, some))
+    got = local_graphs.search(s.doubtful, s.batches, s.q, s.postings, some, "again")
+    assert rows(got.toPandas()) == rows(want.toPandas()) != []
+
+
 def test_distinct_pairs_need_no_shuffle_of_pairs(spark, sf_dir):
     from tonemark.operators import index
     from tonemark.sources import fixtures
