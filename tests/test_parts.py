@@ -316,3 +316,13 @@ def test_parts_have_sql_or_rows(spark, sf_dir):
     from tonemark.plans import oracle
 
     assert set(parts.QUERIES) <= set(oracle.QUERIES)
+
+
+def test_tasks_of_a_stream_take_few_rows(spark, sf_dir, monkeypatch):
+    from tonemark.plans import parts
+
+    want = sorted(map(tuple, parts.stream_sliding(spark, sf_dir).collect()))
+    monkeypatch.setattr(parts, "STREAM_ROWS", 100)
+    plan = parts._streamed(spark, sf_dir)._jdf.queryExecution().logical().toString()
+    assert "RepartitionByExpression" in plan and plan.split("\n")[0].rstrip().endswith(", 10")
+    assert sorted(map(tuple, parts.stream_sliding(spark, sf_dir).collect())) == want

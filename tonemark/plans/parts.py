@@ -297,12 +297,17 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.col("p_size").cast("string").alias("text"), F.try_to_number(number, F.lit("999")).cast("int").alias("number"), F.round(F.log2("p_size"), 9).alias("log2"))
 
 
+#: Rows of a stream that a task takes at once; in windows that overlap each counts several times.
+STREAM_ROWS = 250_000
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a stream of files, some in each micro-batch."""
+    """events as a stream of files, all in one micro-batch. However many there are, a task gets some STREAM_ROWS rows."""
     path = folder(spark, "events")
     rows = fixtures.table(spark, sf_dir, "events").select("ts", "user_id", "value")
-    rows.repartition(4).write.parquet(path)
-    return monitor.stored(spark, path, "ts timestamp, user_id bigint, value double", 4)
+    n = max(4, -(-rows.count() // STREAM_ROWS))
+    rows.repartition(n).write.parquet(path)
+    return monitor.stored(spark, path, "ts timestamp, user_id bigint, value double", n).repartition(n, "user_id", "ts")
 
 
 def _windows(rows: DataFrame, name: str) -> DataFrame:
