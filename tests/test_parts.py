@@ -326,3 +326,24 @@ def test_tasks_of_a_stream_take_few_rows(spark, sf_dir, monkeypatch):
     plan = parts._streamed(spark, sf_dir)._jdf.queryExecution().logical().toString()
     assert "RepartitionByExpression" in plan and plan.split("\n")[0].rstrip().endswith(", 10")
     assert sorted(map(tuple, parts.stream_sliding(spark, sf_dir).collect())) == want
+
+
+def test_small_files_are_read_once_and_in_few_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"{i}.wav").write_bytes(wav.encode(np.full(i, 0.5), 8000))
+    got = wav.spans(spark, str(tmp_path), [(0, None), (100, 50)])
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < wav.files(spark, str(tmp_path)).rdd.getNumPartitions()
+    sizes = {(int(r.path.rsplit("/", 1)[1][:-4]), r.span): len(r.samples) for r in got.collect()}
+    assert sizes == {(i, s): n for i in range(400) for s, n in ((0, i), (1, min(50, max(0, i - 100))))}
+
+
+def test_wav_files_leaves_no_files(spark, sf_dir):
+    from pathlib import Path
+
+    from tonemark.plans.scratch import shared_dir
+
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(top.glob("audio-*"))
+    assert parts.wav_files(spark, sf_dir).count() == 10 * parts.samples(spark, sf_dir).count()
+    assert set(top.glob("audio-*")) == before

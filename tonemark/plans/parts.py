@@ -14,7 +14,7 @@ from tonemark import params as P
 from tonemark.functions import audio, codec
 from tonemark.functions import terms as T
 from tonemark.operators import codebook, index, quantize, signal
-from tonemark.plans.scratch import materialize, shared_dir
+from tonemark.plans.scratch import materialize, remove, shared_dir
 from tonemark.sources import fixtures, id3, synthetic, wav, wav_source
 from tonemark.sources.store import FingerprintStore, IndexSession, reindex, session
 from tonemark.streaming import monitor
@@ -124,10 +124,10 @@ def signal_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matrices(spark, sf_dir, each, "r bigint, t int, f int, d string")
 
 
-def _written(spark: SparkSession, sf_dir: str, bits: int, floats: bool = False) -> str:
-    path = folder(spark, "audio")
+def _written(recordings: DataFrame, bits: int, floats: bool = False) -> str:
+    path = folder(recordings.sparkSession, "audio")
     name = F.format_string("a%d/b/%06d.wav", F.col("fid") % 3, "fid")
-    wav.write(samples(spark, sf_dir).select(name.alias("name"), "samples"), path, P.SAMPLE_RATE, bits, floats=floats)
+    wav.write(recordings.select(name.alias("name"), "samples"), path, P.SAMPLE_RATE, bits, floats=floats)
     return path
 
 
@@ -136,25 +136,29 @@ def _file_number(path: str = "path") -> Column:
 
 
 def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each recording written and read at every resolution, whole and from a place on."""
+    """Each recording written and read at every resolution, whole and from a place on. The files of one resolution are there at a time."""
     out = None
+    recordings = materialize(samples(spark, sf_dir), "samples")
+    wanted = [(0, None), (100, 50)]
+    place = F.element_at(F.array(*[F.lit(offset) for offset, _ in wanted]), F.col("span") + 1)
     for bits, floats in ((8, False), (16, False), (24, False), (32, False), (32, True)):
-        path = _written(spark, sf_dir, bits, floats)
-        for offset, count in ((0, None), (100, 50)):
-            got = wav.read(spark, path, offset, count)
-            rows = got.select(_file_number().alias("fid"), F.lit(bits + floats).alias("bits"), F.lit(offset).alias("place"), "sample_rate", "channels", F.size("samples").alias("n"), _sum("samples").alias("total"))
-            out = rows if out is None else out.unionByName(rows)
+        path = _written(recordings, bits, floats)
+        got = wav.spans(spark, path, wanted)
+        rows = got.select(_file_number().alias("fid"), F.lit(bits + floats).alias("bits"), place.alias("place"), "sample_rate", "channels", F.size("samples").alias("n"), _sum("samples").alias("total"))
+        rows = materialize(rows, "read")
+        remove(spark, path)
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def wav_data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     wav_source.register(spark)
-    rows = spark.read.format("tonemark_wav").load(_written(spark, sf_dir, 16))
+    rows = spark.read.format("tonemark_wav").load(_written(samples(spark, sf_dir), 16))
     return rows.select(_file_number().alias("fid"), "sample_rate", F.size("samples").alias("n"), _sum("samples").alias("total"))
 
 
 def numbered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = wav.numbered(wav.files(spark, _written(spark, sf_dir, 8)), 1)
+    found = wav.numbered(wav.files(spark, _written(samples(spark, sf_dir), 8)), 1)
     return found.select(F.regexp_extract("path", r"([^/]+/b/\d+\.wav)$", 1).alias("name"), "fid")
 
 
