@@ -347,3 +347,24 @@ def test_wav_files_leaves_no_files(spark, sf_dir):
     before = set(top.glob("audio-*"))
     assert parts.wav_files(spark, sf_dir).count() == 10 * parts.samples(spark, sf_dir).count()
     assert set(top.glob("audio-*")) == before
+
+
+def test_layout_is_one_sort_of_bounded_tasks(spark, sf_dir, monkeypatch):
+    import duckdb
+    from tests.test_catalogue import rows
+
+    from tonemark.plans import oracle
+
+    monkeypatch.setattr(index, "ROWS", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # postings go on from batch to batch
+    try:
+        got = parts.QUERIES["block_layout_small"](spark, sf_dir)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf_dir}/lineitem.parquet'")
+        assert rows(got.toPandas()) == rows(con.sql(oracle.sql("block_layout_small")).df())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Aggregate" not in plan
+    n = parts.channel_postings(spark, sf_dir).count()
+    assert got.rdd.getNumPartitions() == -(-n // 300) > spark.sparkContext.defaultParallelism

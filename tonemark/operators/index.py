@@ -84,6 +84,36 @@ def _sizes(x: np.ndarray) -> np.ndarray:
     return byte_counts(np.asarray(x, dtype=np.int64).astype(np.uint64))
 
 
+#: Postings that a task of a layout takes, unless a term alone has more.
+ROWS = 500_000
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """term, fid, tf, body of each posting, from occurrences in order, some thousand at a time. body: bytes without the recording's number."""
+    size = lambda x: 1 + np.searchsorted(np.array([128, 16384, 2097152, 268435456]), x, side="right")
+    none = np.zeros(0, dtype=np.int64)
+    held, kept = None, (none,) * 4  # of the last posting, which may go on: its last occurrence; its row
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.array([b[c].to_numpy() for c in ("term", "fid", "lid", "t", "e")], dtype=np.int64)
+        before = np.concatenate([rows[:, :1] - 1 if held is None else held, rows[:, :-1]], axis=1)
+        new = (rows[:2] != before[:2]).any(axis=0)
+        body = sum(size(rows[i] - np.where(new, 0, before[i])) for i in (2, 3)) + size(rows[4])
+        first = np.flatnonzero(new)
+        edge = np.concatenate([[0], first[first > 0], [b.num_rows]])
+        n, total = np.diff(edge), np.add.reduceat(body, edge[:-1])
+        term, fid = rows[0, edge[:-1]], rows[1, edge[:-1]]
+        if not new[0]:
+            n[0], total[0] = n[0] + kept[2][0], total[0] + kept[3][0]
+            kept = (none,) * 4
+        done = [np.concatenate([x, y]) for x, y in zip(kept, (term, fid, n, total), strict=True)]
+        held, kept = rows[:, -1:], tuple(x[-1:] for x in done)
+        term, fid, n, total = (x[:-1] for x in done)
+        yield term, fid, n, total + size(n)
+    yield (*kept[:3], kept[3] + size(kept[2]))
+
+
 def layout(rows: DataFrame, chunk_bytes: int = P.CHUNK_BYTES, block_bytes: int = P.BLOCK_BYTES) -> DataFrame:
     """term, fid, tf, bytes, chunk, block of each posting: how lists are cut and stored.
 
@@ -91,20 +121,15 @@ def layout(rows: DataFrame, chunk_bytes: int = P.CHUNK_BYTES, block_bytes: int =
     A chunk goes into the last block while that block's body, in the variable-byte code, is below block_bytes; else into a
     new one, whose first recording number is coded from 0. bytes are a posting's in that code. Chunks count from 0, blocks from 1.
 
-    The cut depends on all postings before it, so it is a pass over a list in order; a task holds an Arrow batch and a list's state.
+    The cut depends on all postings before it, so it is a pass over a list in order; a task sorts ROWS occurrences, or those of one term,
+    and holds an Arrow batch and a list's state.
     """
-    w = Window.partitionBy("term", "fid").orderBy("lid")
-    size = lambda x: F.when(x < 128, 1).when(x < 16384, 2).when(x < 2097152, 3).when(x < 268435456, 4).otherwise(5)
-    deltas = rows.withColumns({"dl": F.col("lid") - F.coalesce(F.lag("lid").over(w), F.lit(0)), "dt": F.col("t") - F.coalesce(F.lag("t").over(w), F.lit(0))})
-    body = deltas.groupBy("term", "fid").agg(F.count(F.lit(1)).alias("tf"), F.sum(size(F.col("dl")) + size(F.col("dt")) + size(F.col("e"))).alias("body"))
-    body = body.withColumn("body", F.col("body") + size(F.col("tf")))
     schema = "term int, fid int, tf bigint, bytes bigint, chunk int, block int"
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chunk, block, raw, stored, last = None, 0, 0, 0, 0, 0  # of the list at hand
-        for b in batches:
-            term, fid, tf, rest = (b[c].to_numpy() for c in ("term", "fid", "tf", "body"))
+        for term, fid, tf, rest in _counted(batches):
             got = np.zeros((3, len(term)), dtype=np.int64)  # bytes, chunk, block
             edges = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1, [len(term)]])
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -127,9 +152,12 @@ def layout(rows: DataFrame, chunk_bytes: int = P.CHUNK_BYTES, block_bytes: int =
                     at = end
                     if raw >= chunk_bytes:
                         chunk, raw = chunk + 1, 0
-            yield pa.RecordBatch.from_arrays([b["term"], b["fid"], b["tf"], pa.array(got[0]), pa.array(got[1], pa.int32()), pa.array(got[2], pa.int32())], schema=out)
+            columns = (term, fid, tf, *got)
+            yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
-    return body.select("term", "fid", "tf", "body").repartition("term").sortWithinPartitions("term", "fid").mapInArrow(run, schema)
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+    dealt = rows.select("term", "fid", "lid", "t", "e").repartition(n, "term")
+    return dealt.sortWithinPartitions("term", "fid", "lid").mapInArrow(run, schema)
 
 
 def block_headers(placed: DataFrame) -> DataFrame:
