@@ -66,3 +66,33 @@ def test_distinct_pairs_need_no_shuffle_of_pairs(spark, sf_dir):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     key = ["term", "fid", "lid", "t", "e"]
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, index.pair_terms(qlf).select(*key).distinct().collect()))
+
+
+@pytest.mark.parametrize(("recordings", "terms", "share"), [(2000, 5800, 0.1), (30, 5800, 0.5), (100, 200, 1.0)])
+def test_top_candidates_score_few_hits(monkeypatch, recordings, terms, share):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, asked = recordings * 600, 20 * 20
+    lid = np.tile(np.arange(600), recordings)
+    rows = {"fid": np.repeat(np.arange(recordings), 600), "lid": lid, "t": 4 * lid + rng.integers(0, 3, n), "e": rng.integers(50, 256, n), "term": rng.integers(0, terms, n)}
+    book = grid.Book({c: v.astype(np.int32) for c, v in rows.items()}, True)
+    row, k, eq = np.repeat(np.arange(20), 20), np.tile(np.arange(20), 20), rng.integers(50, 256, asked)
+    start, size = book.find(rng.integers(0, terms, asked))
+    want = grid._chunk(book, "best", 11, row, k, eq, start, size)
+    lead = grid._leading(want["row"], want["fid"], want["score"], 11)
+    scored, scores = [], grid._scores
+    monkeypatch.setattr(grid, "_scores", lambda key, *x: scored.append(len(key)) or scores(key, *x))
+    got = grid._chunk(book, "top", 11, row, k, eq, start, size)
+    for c in grid.COLUMNS["top"][2:]:
+        assert got[c].tolist() == want[c][lead].tolist() != []
+    assert sum(scored) <= share * size.sum()
+
+
+def test_postings_and_queries_are_dealt_with_few_copies():
+    # six times sf0.1 with a tenth of the recordings asked and with all; sixty times; far more
+    assert grid.shares(3_600_000, 7_929, 16) == (16, 1)
+    assert grid.shares(3_600_000, 79_290, 16) == (5, 4)
+    assert grid.shares(36_000_000, 79_290, 16) == (16, 1)
+    assert grid.shares(360_000_000, 792_900, 16) == (90, 4)
+    assert grid.shares(0, 0, 16) == (1, 16)
