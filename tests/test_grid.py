@@ -115,3 +115,15 @@ def test_a_recording_in_order_takes_a_byte_for_a_step():
     t, e = 4 * lid + lid % 7 % 3, 50 + lid * 131 % 206
     assert [len(grid._block(x)) < len(x) * n + 30 for x, n in ((lid[:600], 1), (t[:600], 1), (e, 1))] == [True] * 3
     assert len(zlib.compress(grid._block(lid))) < 100
+
+
+@pytest.mark.parametrize("name", ["candidates_join", "bin_first_hit"])
+def test_a_list_is_yielded_on_end_to_all_that_ask_for_it(spark, sf_dir, tmp_path, name):
+    from pyspark.sql import functions as F
+
+    got = catalogue.QUERIES[name](spark, sf_dir)
+    task = got.withColumn("n", F.monotonically_increasing_id()).toPandas().sort_values("n")
+    columns = task[["query_id", "batch", "k"]].ne(task[["query_id", "batch", "k"]].shift()).any(axis=1)
+    asked = task.groupby(["query_id", "batch", "k", task["n"].to_numpy() // 2**33]).ngroups
+    # each query fingerprint's rows stand together in a task, none between those of another one
+    assert columns.sum() == asked
